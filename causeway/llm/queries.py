@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, url_filter
+from causeway.llm import bpe, exact_dedup, quality, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -17,6 +17,28 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 LISTED_HOSTS = "spam-farm|cheap-pills|casino-win|free-bets|ads-track"
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by preferences learnt from the labels that aren't held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, ranker).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups every document with those of equal text."""
+    out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+_OP8_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,9 +76,9 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op3_quality": op3_quality, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op10_url_filter": _OP10_SQL}
+    return {"op8_exact_dedup": _OP8_SQL, "op10_url_filter": _OP10_SQL}
