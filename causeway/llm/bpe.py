@@ -93,7 +93,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, token_ids: str = "token
             out = [None if x is None else coder.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("__ids").to_pylist()]
             yield _with(batch.drop_columns(["__ids"]), decoded=pa.array(out, pa.binary()))
 
-    return picked.mapInArrow(run, picked.drop("__ids").withColumn("decoded", F.lit(b"")).schema)
+    return picked.mapInArrow(run, picked.drop("__ids").withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

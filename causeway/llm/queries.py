@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, exact_dedup, quality, url_filter
+from causeway.llm import bpe, exact_dedup, near_dedup, quality, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -17,6 +17,11 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 LISTED_HOSTS = "spam-farm|cheap-pills|casino-win|free-bets|ads-track"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar by 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document by preferences learnt from the labels that aren't held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +81,7 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op3_quality": op3_quality, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

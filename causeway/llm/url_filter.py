@@ -14,12 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm import _bloom
 from causeway.llm._io import require
 
 #: Blocks of 64 bits in the filter: 2**17 blocks are 1 MiB of bits.
 BLOCKS = 1 << 17
-#: Bits that a URL sets in its block.
-PROBES = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,26 +55,7 @@ def longest_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, s
     return name, verdict
 
 
-def _bits(key: Column, probes: int) -> Column:
-    """A mask of up to `probes` bits out of 64, from a hash of the key."""
-    h = F.xxhash64(key, F.lit(1))
-    mask = F.lit(0).cast("long")
-    for k in range(probes):
-        bit = F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return mask
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(blocks)).cast("int")
-
-
-def bloom(keys: Column, listed: DataFrame, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
-    """The filter of a list: block (int) and word (long), at most `blocks` rows."""
-    return listed.select(_block(keys, blocks).alias("block"), _bits(keys, probes).alias("word")).groupBy("block").agg(F.bit_or("word").alias("word"))
-
-
-def mark_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
+def mark_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, blocks: int = BLOCKS) -> DataFrame:
     """df with `listed` (boolean): whether the key is among the list's.
 
     Null keys are not listed; null and repeated entries of the list count once or not at all.
@@ -84,14 +64,7 @@ def mark_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, blo
     require(listed, listed_key)
     names = df.columns
     entries = listed.select(F.col(listed_key).alias("__entry")).where(F.col("__entry").isNotNull()).distinct()
-    # At most `blocks` rows of 12 bytes, by the modulus above: the size that is broadcast is bounded.
-    filter_ = F.broadcast(bloom(F.col("__entry"), entries, blocks, probes).withColumnsRenamed({"block": "__block", "word": "__word"}))
-    probed = df.withColumns({"__at": _block(F.col(key), blocks), "__bits": _bits(F.col(key), probes)})
-    probed = probed.join(filter_, F.col("__at") == F.col("__block"), "left")
-    # A key for the exact join only where the filter lets it through: the others are null there
-    # and match nothing.
-    possible = F.col(key).isNotNull() & (F.coalesce(F.col("__word"), F.lit(0)).bitwiseAND(F.col("__bits")) == F.col("__bits"))
-    passed = probed.withColumn("__pass", possible)
+    passed = _bloom.mark(df, key, _bloom.build(entries, "__entry", blocks), blocks, "__pass")
     hits = (
         passed.where("__pass")
         .join(entries, F.col(key) == F.col("__entry"), "left")
