@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, exact_dedup, near_dedup, quality, url_filter
+from causeway.llm import bpe, exact_dedup, near_dedup, packing, quality, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -29,6 +29,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, ranker).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of 2048 tokens."""
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), closing=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups every document with those of equal text."""
     out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -81,7 +87,7 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
