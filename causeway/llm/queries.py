@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, url_filter
+from causeway.llm import bpe, chunk_dedup, exact_dedup, near_dedup, neighbours, packing, quality, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -41,6 +41,12 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from every document the passages that stand in an earlier one."""
+    out = chunk_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups every document with those of equal text."""
     out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -93,7 +99,7 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op6_neighbours": op6_neighbours, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
