@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, chunk_dedup, exact_dedup, near_dedup, neighbours, packing, quality, url_filter
+from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, near_dedup, neighbours, packing, quality, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -35,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from every document the lines that an earlier line repeats, nearly or exactly."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 100, among all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -99,7 +105,7 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op1_near_dedup": op1_near_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
