@@ -8,10 +8,7 @@ symbols) find every such pair. At the similarity of 0.8 a chunk of 7 has at most
 probability 0.58, so that a pair has no key in common with probability 0.42**12 = 3e-5, and
 less above it. Every pair found is decided on the full sets of shingles.
 
-Pairs of a bucket are not all emitted. Each member is first held against the bucket's smallest
-id; what is linked becomes one component. Only pairs of a bucket whose components still differ
-are then tested one by one, so that no link between components is lost, and a group of copies
-costs its size, not its square.
+Pairs of a bucket are not all emitted; see causeway.llm._buckets.
 """
 
 from __future__ import annotations
@@ -25,18 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import _bloom
-from causeway.llm._components import connected_components
+from causeway.llm._buckets import BLOCKS, link_buckets
 from causeway.llm._io import keep, require
 from causeway.llm._text import lists, lower, mix, shingle_sets, slices, utf8
 
 CHUNKS, SYMBOLS = 12, 7
 #: Signature distance up to which all pairs are found.
 DISTANCE = CHUNKS * 2 - 1
-#: Pairs with fewer equal symbols than this are not tested in the second round: six standard
+#: Pairs with fewer equal symbols than this are not tested in the last round: 4.7 standard
 #: deviations below what is expected at a similarity of 0.8.
-LEAST_EQUAL = 45
-#: Blocks of the Bloom filters that thin rows out before a shuffle: at most 2**20 rows of 12 bytes.
-BLOCKS = 1 << 20
+LEAST_EQUAL = 50
 
 _FACTORS = np.random.default_rng(3).integers(0, 2**63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,7 +50,7 @@ def signatures(df: DataFrame, words: int, text: str = "text", doc_id: str = "doc
 
     signature: CHUNKS integers, each with SYMBOLS bytes; null for the empty set.
     """
-    picked = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
+    picked = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -153,30 +148,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, text: str
 
     # One document of each set from here on.
     alone = rows.where(F.col("doc_id") == F.col("id"))
-    keys = chunk_keys(alone)
-    buckets = keep(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
-    large = buckets.where("n > 2").select("key", "a")
-    some = _bloom.mark(keys, "key", _bloom.build(large, "key", BLOCKS), BLOCKS, "__large").where("__large").drop("__large")
-    members = keep(some.join(large, "key"), "members")
-
-    texts = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    stars = keep(buckets.select("a", "b").union(members.where("a <> id").select("a", "id")).distinct(), "pairs")
-    links = keep(verify(stars, texts, words, percent), "links")
-    parts = connected_components(links)
-
-    # Buckets that still hold several components: every pair across them.
-    labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    side = keep(labelled.join(mixed, "key").join(alone.select("id", "n_shingles", "signature").distinct(), "id"), "mixed")
-    x, y = side.select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "part", "n_shingles", "signature")]), side.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "part", "n_shingles", "signature")])
-    near = (F.col("part_x") < F.col("part_y")) & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
-    near &= _equal_symbols(F.col("signature_x"), F.col("signature_y")) >= LEAST_EQUAL
-    rest = x.join(y, "key").where(near).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    rest = keep(rest.join(stars.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = keep(verify(rest, texts, words, percent), "links")
-        parts = connected_components(links.union(more))
+    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
+    def across(mixed: DataFrame) -> DataFrame:
+        side = keep(mixed.join(alone.select("id", "n_shingles", "signature").distinct(), "id"), "mixed")
+        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "part", "n_shingles", "signature")]) for end in "xy")
+        near = (F.col("part_x") < F.col("part_y")) & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
+        near &= _equal_symbols(F.col("signature_x"), F.col("signature_y")) >= LEAST_EQUAL
+        return x.join(y, "key").where(near).select("id_x", "id_y")
+
+    parts = link_buckets(chunk_keys(alone), lambda pairs: verify(pairs, texts, words, percent), across)
     found = rows.join(parts.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
