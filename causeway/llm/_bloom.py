@@ -42,3 +42,14 @@ def mark(df: DataFrame, key: str, filter_: DataFrame, blocks: int, into: str, pr
     probed = df.withColumns({"__at": block(F.col(key), blocks), "__bits": bits(F.col(key), probes)}).join(words, F.col("__at") == F.col("__block"), "left")
     passed = F.col(key).isNotNull() & (F.coalesce(F.col("__word"), F.lit(0)).bitwiseAND(F.col("__bits")) == F.col("__bits"))
     return probed.select(*names, passed.alias(into))
+
+
+def without(df: DataFrame, key: str, dropped: DataFrame, blocks: int = 1 << 20) -> DataFrame:
+    """The rows of df whose key (not null) isn't among the values of dropped's one column.
+
+    Only rows that the filter can't clear are shuffled for the exact anti-join.
+    """
+    gone = dropped.select(F.col(dropped.columns[0]).alias("__gone"))
+    marked = mark(df, key, build(gone, "__gone", blocks), blocks, "__maybe")
+    unsure = marked.where("__maybe").join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    return marked.where("NOT __maybe").union(unsure).drop("__maybe")
