@@ -6,12 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causeway.plans.views import SQL, Views
+
+_QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Registers a function of Views as a query; sql is its equivalent over the named views."""
+
+    def put(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        text = None if sql is None else "WITH " * bool(views) + ", ".join(f"{v} AS ({SQL[v]})" for v in views.split()) + " " + sql.strip()
+        if text and views and sql.strip().upper().startswith("WITH "):
+            text = "WITH " + ", ".join(f"{v} AS ({SQL[v]})" for v in views.split()) + ", " + sql.strip()[5:]
+        _QUERIES[name] = (function, text)
+        return function
+
+    return put
+
+
+def _load() -> None:
+    from causeway.plans import aggregates, cleaning, lookups, seasons, series  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query; each takes (spark, sf_dir)."""
-    return {}
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL with the same rows."""
-    return {}
+    _load()
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
