@@ -113,8 +113,12 @@ def read_constraints(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     Both spellings of the parameters' names are read; constraints with nulls go.
     """
-    doc = spark.read.schema(schemas.EXPERIMENT).json(path, multiLine=True).select("experimentType", F.coalesce("experimentParam", "experimentParams").alias("p"))
-    params = doc.select("experimentType", F.col("p.startTime").alias("start_ms"), F.col("p.endTime").alias("end_ms"), F.coalesce("p.numTimesteps", "p.numTimeSteps").alias("steps"))
+    doc = spark.read.text(path, wholetext=True)  # names that differ by case alone can't share a schema
+    inner = F.coalesce(F.get_json_object("value", "$.experimentParam"), F.get_json_object("value", "$.experimentParams"))
+    steps = F.coalesce(F.get_json_object("raw", "$.numTimesteps"), F.get_json_object("raw", "$.numTimeSteps"))
+    doc = doc.select(F.get_json_object("value", "$.experimentType").alias("experimentType"), inner.alias("raw"))
+    doc = doc.select("experimentType", steps.try_cast("int").alias("steps"), F.from_json("raw", schemas.PARAM).alias("p"))
+    params = doc.select("experimentType", F.col("p.startTime").alias("start_ms"), F.col("p.endTime").alias("end_ms"), "steps")
     rows = doc.select(F.explode("p.constraints").alias("c")).select("c.concept", F.explode("c.values").alias("v")).select("concept", "v.step", "v.value")
     return params, rows.na.drop()
 

@@ -8,8 +8,7 @@ STATEMENT = f"struct<id:string,belief:double,subj:{_SIDE},obj:{_SIDE},evidence:a
 _SERIES = "struct<name:string,source:string,func:string,minValue:double,maxValue:double,numLevels:int,period:int,resolution:string,values:array<struct<timestamp:bigint,value:double>>>"
 MODEL = f"id string, statements array<{STATEMENT}>, conceptIndicators map<string,{_SERIES}>"
 
-_PARAM = "struct<startTime:bigint,endTime:bigint,numTimesteps:int,numTimeSteps:int,constraints:array<struct<concept:string,values:array<struct<step:int,value:double>>>>>"
-EXPERIMENT = f"experimentType string, experimentParam {_PARAM}, experimentParams {_PARAM}"
+PARAM = "startTime bigint, endTime bigint, constraints array<struct<concept:string,values:array<struct<step:int,value:double>>>>"
 
 _AGENT = "struct<concept:struct<name:string,db_refs:map<string,string>>,delta:struct<polarity:int,adjectives:array<string>>>"
 _NOTES = "struct<subj_polarity:int,obj_polarity:int,subj_adjectives:array<string>,obj_adjectives:array<string>>"
