@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _ODD = 0x5851F42D4C957F2D  # an odd multiplier, so that it has an inverse modulo 2**64
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -26,8 +26,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_TABLE = _LOWER.tobytes()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in runs of about SLICE_BYTES of text, at least one row each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of about slice_bytes of text, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -35,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(size, done + slice_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
 
