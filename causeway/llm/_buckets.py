@@ -19,7 +19,7 @@ from causeway.llm._components import connected_components
 from causeway.llm._io import keep
 
 #: Rounds in which members are held against one of their bucket.
-ROUNDS = 3
+ROUNDS = 1
 #: Blocks of the Bloom filters that thin rows out before a shuffle: at most 2**20 rows of 12 bytes.
 BLOCKS = 1 << 20
 

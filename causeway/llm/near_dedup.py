@@ -120,15 +120,36 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("all"), both.alias("both")).where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b").distinct()
 
 
+def lone_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """id and lone: how many shingles of a member no other member has.
+
+    They bound the intersection with any of them, and so the similarity: variants of one text
+    differ from each other in shingles of their own, and fall out here before pairs are made.
+    """
+    few = _bloom.mark(texts, "id", _bloom.build(members, "id", BLOCKS), BLOCKS, "__named").where("__named")
+    each = shingle_arrays(few, words).select("id", F.explode("shingles").alias("shingle"))
+    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return once.groupBy("id").agg(F.count("*").alias("lone"))
+
+
 def _equal_symbols(x: Column, y: Column) -> Column:
-    """The number of equal bytes of two signatures: zero bytes of the exclusive or, counted by bits."""
+    """The number of equal bytes of each chunk of two signatures: zero bytes of the exclusive or."""
     low = F.lit(0x7F7F7F7F7F7F7F7F)
 
     def equal(p: Column, q: Column) -> Column:
         d = p.bitwiseXOR(q)
         return F.bit_count(F.bitwise_not((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseOR(low))) - 1
 
-    return F.aggregate(F.zip_with(x, y, equal), F.lit(0), lambda t, n: t + n)
+    return F.zip_with(x, y, equal)
+
+
+def _first_meeting(key: Column, equal: Column) -> Column:
+    """Whether a key is the first that a pair shares: no earlier chunk has at most one error, and a
+    chunk without any counts for its first place left out only."""
+    at = F.shiftrightunsigned(key, 48).cast("int")
+    chunk, left_out = F.floor(at / SYMBOLS).cast("int"), F.pmod(at, F.lit(SYMBOLS))
+    earlier = F.exists(F.slice(equal, F.lit(1), chunk), lambda n: n >= SYMBOLS - 1)
+    return ~earlier & ((F.get(equal, chunk) < SYMBOLS) | (left_out == 0))
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -151,10 +172,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, text: str
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def across(mixed: DataFrame) -> DataFrame:
-        side = keep(mixed.join(alone.select("id", "n_shingles", "signature").distinct(), "id"), "mixed")
-        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "part", "n_shingles", "signature")]) for end in "xy")
-        near = (F.col("part_x") < F.col("part_y")) & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
-        near &= _equal_symbols(F.col("signature_x"), F.col("signature_y")) >= LEAST_EQUAL
+        side = alone.select("id", "n_shingles", "signature").distinct().join(lone_shingles(mixed, texts, words), "id", "left")
+        side = side.withColumn("shared", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
+        side = keep(mixed.join(side, "id"), "mixed")
+        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "part", "n_shingles", "shared", "signature")]) for end in "xy")
+        both = F.least("shared_x", "shared_y")
+        near = (F.col("part_x") < F.col("part_y")) & (both * 100 >= (F.col("n_shingles_x") + F.col("n_shingles_y") - both) * percent)
+        equal = _equal_symbols(F.col("signature_x"), F.col("signature_y"))
+        near &= (F.aggregate(equal, F.lit(0), lambda t, n: t + n) >= LEAST_EQUAL) & _first_meeting(F.col("key"), equal)
         return x.join(y, "key").where(near).select("id_x", "id_y")
 
     parts = link_buckets(chunk_keys(alone), lambda pairs: verify(pairs, texts, words, percent), across)
