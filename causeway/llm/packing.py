@@ -6,6 +6,12 @@ ids. Within a shard the next unused piece is a seed: the index returns the other
 by score, and they fill the seed's window in that order, the last of them cut to fit, so that
 only a shard's last sequence can be short.
 
+Remainders are dealt to shards by content: in order of their rarest term that another document
+has too, then of the second rarest, cut into shards of even size. What shares its rarest terms
+is in one shard or in neighbouring ones, whatever their number; only keys of more than
+a fraction of a shard are cut, first by the second term, then by rows. Each piece is in one
+shard, so that neighbours by other terms alone may be missed.
+
 Document frequencies and the mean length are those of all documents; there are as many terms as
 the vocabulary has ids, and that bounds what the driver holds. A shard has about SHARD_TOKENS
 tokens whatever the corpus: its number grows, not its size.
@@ -30,6 +36,10 @@ from causeway.llm.bpe import safe_pieces
 
 #: Tokens of remainders in a shard of the index.
 SHARD_TOKENS = 1 << 20
+#: Keys of less than this share of a shard aren't cut.
+WHOLE_KEY = 0.25
+#: Parts by the second rarest term of a key that is cut.
+PARTS = 64
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: How the tokenizers library's byte-level pre-tokenizer splits text; a fixed value.
@@ -174,6 +184,27 @@ def fill_windows(pieces: list[np.ndarray], length: int, idf: np.ndarray, mean_le
             yield window
 
 
+def rarest(pieces: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and second smallest rank (by token id) of each piece, none of them empty."""
+    starts = np.cumsum([0, *[len(x) for x in pieces[:-1]]])
+    ranks = rank[np.concatenate(pieces)]
+    first = np.minimum.reduceat(ranks, starts)
+    ranks[ranks == np.repeat(first, [len(x) for x in pieces])] = len(rank)
+    return first, np.minimum.reduceat(ranks, starts)
+
+
+def _laid_out(counts, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, the place among all tokens where each begins, and the tokens it is spread over; from key and n.
+
+    A key of less than WHOLE_KEY of a shard is put in its middle as a whole.
+    """
+    counts = counts.sort_values("key")
+    n = counts["n"].to_numpy(np.float64)
+    start = np.cumsum(n) - n
+    small = n < WHOLE_KEY * size
+    return counts["key"].to_numpy(np.int64), np.where(small, start + n / 2, start), np.where(small, 0.0, n)
+
+
 def pack(tokenized: DataFrame, length: int = 2048, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of sequences of at most `length` tokens, from (doc_id, tokens, ids).
 
@@ -221,10 +252,58 @@ def pack(tokenized: DataFrame, length: int = 2048, shard_tokens: int = SHARD_TOK
 
     rest = tokenized.withColumn("row", F.monotonically_increasing_id()).where(F.col("tokens") % length > 0)
     start = F.expr(f"tokens - tokens % {length}")
-    rest = rest.select("doc_id", "tokens", "row", start.alias("start"), F.expr(f"substring(ids, cast(4 * (tokens - tokens % {length}) + 1 as int))").alias("ids"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    rest = rest.select("doc_id", "tokens", "row", start.alias("start"), F.expr(f"substring(ids, cast(4 * (tokens - tokens % {length}) + 1 as int))").alias("ids"))
+    if shards == 1:
+        rest = rest.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        rest = _dealt(rest, df, shards, size["left"])
     return whole.union(rest.groupBy("shard").applyInArrow(run, whole.schema))
 
 
+def _dealt(rest: DataFrame, df: np.ndarray, shards: int, total: int) -> DataFrame:
+    """rest with the column shard, by content."""
+    size = total / shards
+    # Terms in order of rarity; those of a single document join nothing and come last.
+    rank = np.empty(len(df), np.int64)
+    rank[np.lexsort((np.arange(len(df)), np.where(df > 1, df, np.inf)))] = np.arange(len(df))
+    rank[df <= 1] = len(df)
+
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pieces = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
+        first, second = rarest(pieces, rank)
+        return first, first * PARTS + second * PARTS // (len(rank) + 1), np.array([len(x) for x in pieces])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, part, n = keys(batch)
+                part, at = np.unique(part, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.bincount(at, n).astype(np.int64))], names=["part", "n"])
+
+    parts = keep(rest.select("ids").mapInArrow(counted, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")), "keys")
+    whole_key = F.col("part") - F.col("part") % PARTS
+    key_sizes = parts.groupBy(whole_key.alias("key")).agg(F.sum("n").alias("n"))
+    large = key_sizes.where(F.col("n") >= WHOLE_KEY * size).select("key")  # at most shards / WHOLE_KEY
+    # One row for each id of the vocabulary, and PARTS for each large key, at most.
+    fine = parts.withColumn("key", whole_key).join(large, "key").select(F.col("part").alias("key"), "n")
+    coarse = key_sizes.join(large, "key", "left_anti")
+    cut = np.sort(np.array([r.key for r in large.collect()], np.int64))
+    order, begin, spread = _laid_out(coarse.union(fine).toPandas(), size)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                first, part, _ = keys(batch)
+                at = np.searchsorted(order, np.where(np.isin(first * PARTS, cut), part, first * PARTS))
+                draw = batch.column("draw").to_numpy(zero_copy_only=False) / 2.0**20
+                shard = np.minimum((begin[at] + draw * spread[at]) // size, shards - 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(shard)], names=[*names, "shard"])
+
+    names = rest.columns
+    drawn = rest.withColumn("draw", F.pmod(F.xxhash64("row"), F.lit(1 << 20)))
+    return drawn.mapInArrow(placed, rest.withColumn("shard", F.lit(0).cast("long")).schema)
+
+
 def pack_documents(df: DataFrame, path: str, closing: int, length: int = 2048, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """tokenize() and pack() of whole documents, with the tokens written once in between."""
     return pack(keep(tokenize(df, path, closing, text, doc_id), "tokens"), length, shard_tokens)

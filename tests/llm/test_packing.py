@@ -75,6 +75,29 @@ def test_neighbours_come_by_score():
     assert np.isclose(scores[2], 2 * 1 * (packing.K1 + 1) / (1 + packing.K1))
 
 
+def test_planted_neighbours_share_sequences_in_many_shards(spark):
+    """Documents of one topic meet in sequences however many shards there are, and large topics are cut."""
+    pick = np.random.default_rng(4)
+    rows = []
+    for k in range(1200):
+        topic = k // 4 if k < 800 else 1000
+        ids = np.concatenate([pick.integers(1, 400, 180), np.full(8, 500 + topic), np.full(4, 2000 + topic), [1]])
+        rows.append((k, len(ids), pick.permutation(ids).astype("<u4").tobytes()))
+    df = spark.createDataFrame([rows[k] for k in pick.permutation(len(rows))], "doc_id long, tokens long, ids binary").repartition(7)
+    out = packing.pack(packing.keep(df, "tokens"), 512, 1 << 13).collect()
+    mates = {}
+    for r in out:
+        mates.setdefault(r.sequence_id, set()).add(r.doc_id)
+    assert len({s >> 33 for s in mates if s % 2}) > 20
+    met = {(a, b) for s in mates.values() for a in s for b in s if a < b}
+    topics = [any((a, b) in met for a in range(4 * t, 4 * t + 4) for b in range(a + 1, 4 * t + 4)) for t in range(200)]
+    assert sum(topics) >= 195
+    sizes = {}
+    for r in out:
+        sizes[r.sequence_id >> 33] = sizes.get(r.sequence_id >> 33, 0) + r.length
+    assert max(sizes.values()) < 2 * (1 << 13) and sum(sizes.values()) == sum(n for _, n, _ in rows)
+
+
 def test_bpe_round_trip(spark, monkeypatch):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     all_ = [*texts(spark), ("word " * 40_000) + "  " + "tail　x " * 9000, "no_space" * 20_000]
