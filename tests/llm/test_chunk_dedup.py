@@ -52,6 +52,18 @@ def test_against_a_walk_over_all_chunks(spark):
     assert out[9100][2] == 0 and all(out[9100 + k][2] > 0.6 * len(passage) for k in range(1, 5))
 
 
+def test_passages_of_51_words_go(spark):
+    """Of 300 passages of 51 words of mixed length, nearly all lose most of their second occurrence."""
+    pick = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in pick.integers(0, 26, pick.integers(2, 9)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(300)]
+    rows = [(1000 * k + n, " ".join([*(word() for _ in range(40)), p, *(word() for _ in range(40))]), 1, 1) for k in range(2) for n, p in enumerate(passages)]
+    out = got(chunk_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)))
+    caught = [out[1000 + n][2] for n in range(300)]
+    assert sum(c > 0 for c in caught) >= 297 and sum(out[n][2] for n in range(300)) == 0
+    assert sum(caught) > 0.5 * sum(len(p) for p in passages)
+
+
 def test_nulls_repeats_and_empty(spark):
     text = " ".join(str(k * 7919) for k in range(400))
     df = spark.createDataFrame([(None, text, 1, 1), (None, text, 1, 1), (5, text, 1, 1), (6, text, 1, 1)], SCHEMA)
