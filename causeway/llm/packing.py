@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from causeway.llm._io import keep, require
-from causeway.llm._text import slices
+from causeway.llm._text import slices, utf8
 from causeway.llm.bpe import safe_pieces
 
 #: Tokens of remainders in a shard of the index.
@@ -81,7 +81,7 @@ def _engine(path: str):
         if ranks is not None:
 
             def encode(text: str) -> np.ndarray:
-                return np.concatenate([np.array(ranks.encode(x, allowed_special="all"), np.uint32) for x in safe_pieces(text)])
+                return np.concatenate([ranks.encode_to_numpy(x, allowed_special="all") for x in safe_pieces(text)])
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             loaded = Tokenizer.from_file(path)
@@ -120,17 +120,28 @@ def tokenize(df: DataFrame, path: str, closing: int, text: str = "text", doc_id:
     return picked.mapInArrow(run, picked.drop("__text").withColumns({"tokens": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows together, and the offsets of rows in them."""
+    data, offsets = utf8(column)
+    return np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+
+
 def document_frequencies(tokenized: DataFrame) -> DataFrame:
     """token and df: the number of documents that hold each token id, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                found = np.unique(np.frombuffer(x, "<u4"))
-                if len(found) and found[-1] >= len(total):
-                    total = np.append(total, np.zeros(int(found[-1]) + 1 - len(total), np.int64))
-                total[found] += 1
+            ids, offsets = _flat(batch.column("ids"))
+            if not len(ids):
+                continue
+            width = int(ids.max()) + 1
+            key = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) * np.uint64(width) + ids
+            key.sort()
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            found = np.bincount((key[first] % np.uint64(width)).astype(np.int64), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have])], names=["token", "df"])
 
@@ -148,33 +159,57 @@ class Bm25:
         cell, tf = np.unique(np.repeat(np.arange(self.n), size) * width + terms, return_counts=True)
         doc, term = cell // width, cell % width
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean_length))
-        self.term, self.bounds = term, np.searchsorted(doc, np.arange(self.n + 1))
+        self.own, self.bounds = term, np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.posting = np.searchsorted(term[order], np.arange(width + 1))
+        self.doc, self.weight, self.term = doc[order], weight[order], term[order]
+        self.places = np.arange(width + 1)
+        self.posting = np.searchsorted(self.term, self.places)
+
+    def without(self, used: np.ndarray) -> None:
+        """Takes the postings of used pieces out."""
+        live = ~used[self.doc]
+        self.doc, self.weight, self.term = self.doc[live], self.weight[live], self.term[live]
+        self.posting = np.searchsorted(self.term, self.places)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every piece for the seed's distinct terms."""
-        terms = self.term[self.bounds[seed] : self.bounds[seed + 1]]
-        lo, n = self.posting[terms], self.posting[terms + 1] - self.posting[terms]
-        ends = np.cumsum(n)
-        at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        terms = self.own[self.bounds[seed] : self.bounds[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.posting[terms].tolist(), self.posting[terms + 1].tolist(), strict=True) if a < b]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), minlength=self.n)
+
+
+def _best_first(scores: np.ndarray) -> Iterator[int]:
+    """Places in order of falling scores, equal ones in their own order; the best few are sorted alone."""
+    most = 32
+    bound = np.partition(scores, -most)[-most] if len(scores) > most else -np.inf
+    best = np.flatnonzero(scores >= bound)
+    yield from best[np.argsort(-scores[best], kind="stable")].tolist()
+    others = np.flatnonzero(scores < bound)
+    yield from others[np.argsort(-scores[others], kind="stable")].tolist()
 
 
 def fill_windows(pieces: list[np.ndarray], length: int, idf: np.ndarray, mean_length: float) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of (piece, from, to) that use every token of the pieces once."""
+    """Sequences as lists of (piece, from, to) that use every token of the pieces once.
+
+    Postings of used pieces are taken out of the index whenever a fourth of them are.
+    """
     index = Bm25(pieces, idf, mean_length)
     size = np.array([len(x) for x in pieces])
     used = np.zeros(len(pieces), np.int64)
+    indexed = len(pieces)
     for seed in range(len(pieces)):
         while used[seed] < size[seed]:
             window, room = [(seed, int(used[seed]), int(size[seed]))], length - int(size[seed] - used[seed])
             used[seed] = size[seed]
             if room:
                 free = np.flatnonzero(used < size)
-                free = free[np.argsort(-index.scores(seed)[free], kind="stable")]
-                for other in free.tolist():
+                if len(free) < indexed * 3 / 4:
+                    index.without(used >= size)
+                    indexed = len(free)
+                for place in _best_first(index.scores(seed)[free]):
+                    other = int(free[place])
                     take = min(room, int(size[other] - used[other]))
                     window.append((other, int(used[other]), int(used[other]) + take))
                     used[other] += take
@@ -184,13 +219,12 @@ def fill_windows(pieces: list[np.ndarray], length: int, idf: np.ndarray, mean_le
             yield window
 
 
-def rarest(pieces: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest and second smallest rank (by token id) of each piece, none of them empty."""
-    starts = np.cumsum([0, *[len(x) for x in pieces[:-1]]])
-    ranks = rank[np.concatenate(pieces)]
-    first = np.minimum.reduceat(ranks, starts)
-    ranks[ranks == np.repeat(first, [len(x) for x in pieces])] = len(rank)
-    return first, np.minimum.reduceat(ranks, starts)
+def rarest(ids: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and second smallest rank (by token id) of each row's ids, none of them without any."""
+    ranks = rank[ids]
+    first = np.minimum.reduceat(ranks, offsets[:-1])
+    ranks[ranks == np.repeat(first, np.diff(offsets))] = len(rank)
+    return first, np.minimum.reduceat(ranks, offsets[:-1])
 
 
 def _laid_out(counts, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,9 +303,9 @@ def _dealt(rest: DataFrame, df: np.ndarray, shards: int, total: int) -> DataFram
     rank[df <= 1] = len(df)
 
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pieces = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-        first, second = rarest(pieces, rank)
-        return first, first * PARTS + second * PARTS // (len(rank) + 1), np.array([len(x) for x in pieces])
+        ids, offsets = _flat(batch.column("ids"))
+        first, second = rarest(ids, offsets, rank)
+        return first, first * PARTS + second * PARTS // (len(rank) + 1), np.diff(offsets)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
