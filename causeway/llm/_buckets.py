@@ -1,8 +1,9 @@
 """Linking the members of buckets without emitting all their pairs.
 
 Two ids that share a key are a candidate pair. In each of a few rounds every member of a bucket
-is held against one member of it, drawn by a hash of key and round, so that a group's members
-meet many of each other; what is linked becomes one component. Only pairs of a bucket whose
+is held against one member of it; what is linked becomes one component. A round draws its
+members by one order of all ids, so that the keys of a group agree on one of it and its pairs
+are as many as its members, however many keys they share. Only pairs of a bucket whose
 components still differ are then tested one by one: no link between components is lost, and a
 group of copies costs its size, not its square.
 """
@@ -18,19 +19,15 @@ from causeway.llm import _bloom
 from causeway.llm._components import connected_components
 from causeway.llm._io import keep
 
-#: Rounds in which members are held against one of their bucket.
-ROUNDS = 1
+#: What turns the order of ids about in each round of draws.
+SALTS = (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 #: Blocks of the Bloom filters that thin rows out before a shuffle: at most 2**20 rows of 12 bytes.
 BLOCKS = 1 << 20
 
 
-def _salt(k: int) -> Column:
-    """What draws a member of each bucket in round k: the one whose id is nearest to it by exclusive or."""
-    return F.xxhash64("key", F.lit(k))
-
-
-def _drawn(k: int) -> Column:
-    return F.min(F.col("id").bitwiseXOR(_salt(k))).bitwiseXOR(_salt(k)).alias("drawn")
+def _drawn(salt: int) -> Column:
+    """The member of a bucket whose id is nearest to the salt by exclusive or."""
+    return F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("drawn")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -46,25 +43,24 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return keep(labelled.join(several, "key"), "mixed")
 
 
-def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and component of every id that is linked with another.
 
-    keys: key and id (both long). verify: of pairs (a, b), those that are links. across: from the
+    keys: key and id (both long); rows may repeat. verify: of pairs (a, b), those that are links. across: from the
     rows (key, id, part) of mixed buckets, the pairs of different parts that may be links.
     """
-    buckets = keep(keys.groupBy("key").agg(_drawn(0), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
-    large = buckets.where("n > 2").select("key", "drawn")
-    some = _bloom.mark(keys, "key", _bloom.build(large, "key", BLOCKS), BLOCKS, "__large").where("__large").drop("__large")
-    members = keep(some.join(large, "key"), "members")
+    buckets = keep(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key", "a"), "buckets")
+    shared = _bloom.mark(keys, "key", _bloom.build(buckets, "key", BLOCKS), BLOCKS, "__shared").where("__shared").drop("__shared")
+    members = keep(shared.join(buckets, "key"), "members")
 
-    tested = keep(ordered(buckets.where("n = 2").select("a", "b").union(members.select("drawn", "id"))), "pairs")
+    tested = keep(ordered(members.select("a", "id")), "pairs")
     links = keep(verify(tested), "links")
     parts = connected_components(links)
     mixed = _mixed(members, parts)
-    for k in range(1, rounds):
+    for salt in SALTS[1:]:
         if mixed.isEmpty():
             return parts
-        stars = ordered(mixed.join(mixed.groupBy("key").agg(_drawn(k)), "key").select("drawn", "id"))
+        stars = ordered(mixed.join(mixed.groupBy("key").agg(_drawn(salt)), "key").select("drawn", "id"))
         stars = keep(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(stars)
         links = links.union(keep(verify(stars), "links"))

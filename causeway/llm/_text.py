@@ -6,6 +6,7 @@ and words, windows and their hashes are found with array operations over it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,35 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of a word that are hashed eight by eight; longer words are named by a digest.
+_LANES = 64
+_FRONT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hashes of data[start:end] under a key, equal for equal bytes wherever they stand.
+
+    Eight bytes after eight are scrambled into the hash, so that no sums of byte values can
+    collide; spans of more than 64 bytes are hashed by their keyed blake2b digest.
+    """
+    size = end - start
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))  # the eight bytes from each place on
+    h = mix((size.astype(np.uint64) + np.uint64(key)) * _GOLD)
+    live = np.flatnonzero((size > 0) & (size <= _LANES))
+    at = 0
+    while len(live):
+        lane = eight[start[live] + at] & _FRONT[np.minimum(size[live] - at, 8)]
+        h[live] = mix((h[live] ^ lane) * _GOLD)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > _LANES).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=b"%d" % key).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than space and 9-13, which never cross rows,
     and the number of words before each row (one longer than the rows)."""
@@ -116,8 +146,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct 64-bit hashes of its runs of `size` words.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, key: int = 0) -> Iterator[np.ndarray]:
+    """For each row the sorted distinct 64-bit hashes, under a key, of its runs of `size` words.
 
     With fewer words the whole sequence is the one member; without words the set is empty.
     """
@@ -125,7 +155,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
         yield from (np.zeros(0, np.uint64) for _ in offsets[1:])
         return
     start, end, at = words(data, offsets)
-    one = span_hash(sums(data), start, end)
+    one = word_hashes(data, start, end, key)
     for row in range(len(offsets) - 1):
         w = one[at[row] : at[row + 1]]
         n = min(size, len(w))
@@ -134,7 +164,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
             continue
         h = np.full(len(w) - n + 1, np.uint64(n))
         for k in range(n):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k])
+            h = mix(h * _GOLD + w[k : len(w) - n + 1 + k])
         yield np.unique(h)
 
 

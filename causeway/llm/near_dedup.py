@@ -6,7 +6,10 @@ principle, a chunk that differs in at most ERRORS = 1. The allowed errors of a c
 enumerated by leaving out each of its symbols in turn: equal keys (chunk, place left out, other
 symbols) find every such pair. At the similarity of 0.8 a chunk of 7 has at most one error with
 probability 0.58, so that a pair has no key in common with probability 0.42**12 = 3e-5, and
-less above it. Every pair found is decided on the full sets of shingles.
+less above it.
+
+Shingles are named by two 64-bit hashes under different keys. Every pair found is decided on the
+full sets of both: a link needs enough of either in common, so that a collision alone links nothing.
 
 Pairs of a bucket are not all emitted; see causeway.llm._buckets.
 """
@@ -33,6 +36,9 @@ DISTANCE = CHUNKS * 2 - 1
 #: deviations below what is expected at a similarity of 0.8.
 LEAST_EQUAL = 50
 
+#: The key of the second hash of words.
+SECOND = 0x5DEECE66D
+
 _FACTORS = np.random.default_rng(3).integers(0, 2**63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,10 +61,11 @@ def signatures(df: DataFrame, words: int, text: str = "text", doc_id: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             data, offsets = utf8(batch.column("__text"))
+            data = lower(data)
             n, ids, signs = [], [], []
-            for members in shingle_sets(lower(data), offsets, words):
+            for members, others in zip(shingle_sets(data, offsets, words), shingle_sets(data, offsets, words, SECOND), strict=True):
                 n.append(len(members))
-                ids.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+                ids.append(hashlib.blake2b(members.tobytes() + others.tobytes(), digest_size=16).digest())
                 parts = np.zeros((CHUNKS, 8), np.uint8)
                 parts[:, :SYMBOLS] = minhash(members).reshape(CHUNKS, SYMBOLS)
                 signs.append(parts.view("<i8").ravel() if len(members) else None)
@@ -93,16 +100,17 @@ def chunk_keys(signed: DataFrame) -> DataFrame:
 
 
 def shingle_arrays(df: DataFrame, words: int) -> DataFrame:
-    """id and shingles (array<long>, distinct) from (id, text)."""
+    """id, shingles and others (array<long>, distinct: by either hash) from (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
-            sets = [x.view(np.int64) for x in shingle_sets(lower(data), offsets, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(sets, pa.int64())], names=["id", "shingles"])
+            data = lower(data)
+            sets = [lists([x.view(np.int64) for x in shingle_sets(data, offsets, words, key)], pa.int64()) for key in (0, SECOND)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *sets], names=["id", "shingles", "others"])
 
-    df = df.select("id", "text")
-    return df.mapInArrow(run, df.select("id", F.array(F.lit(0).cast("long")).alias("shingles")).schema)
+    df, none = df.select("id", "text"), F.array(F.lit(0).cast("long"))
+    return df.mapInArrow(run, df.select("id", none.alias("shingles"), none.alias("others")).schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -114,9 +122,9 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     few = _bloom.mark(texts, "id", _bloom.build(named, "id", BLOCKS), BLOCKS, "__named").where("__named")
     sets = shingle_arrays(few, words)
-    a, b = sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), sets.withColumnsRenamed({"id": "b", "shingles": "sb"})
+    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"), F.col("others").alias(f"o{c}")) for c in "ab")
     joined = pairs.join(b, "b").join(a, "a")
-    both = F.size(F.array_intersect("sa", "sb"))
+    both = F.least(F.size(F.array_intersect("sa", "sb")), F.size(F.array_intersect("oa", "ob")))
     return joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("all"), both.alias("both")).where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b").distinct()
 
 

@@ -121,3 +121,59 @@ def test_a_digest_that_names_two_pieces_is_drawn_anew(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
     monkeypatch.setattr(exact_dedup, "chunks", lambda d, text, sizes, key: spark.createDataFrame([(b"x" if key < 2 else x, x) for x in (b"a", b"b")], "digest binary, piece binary"))
     assert exact_dedup.verified_key(df) == 2
+
+
+def thue_morse(a, b, doublings=10):
+    x, y = a, b
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_fool_polynomial_hashes_are_apart(spark):
+    """A Thue-Morse word and its complement have equal sums of byte values times powers modulo 2**64."""
+    x, y = thue_morse("a", "b")
+    u, v = thue_morse("c", "d", 5)
+    rows = [(1, x), (2, y), (3, f"{x} q"), (4, f"{y} q"), (5, u), (6, v), (7, x.upper())]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2)
+    assert got(out) == brute_components(rows, 2, 80) and {c for _, _, c in got(out)} == {1, 2, 3, 4, 5, 6}
+
+
+def test_links_need_both_hashes(spark, monkeypatch):
+    """Where the first hash of words collides, the second one keeps unlike texts apart."""
+    whole = near_dedup.shingle_sets
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda data, offsets, words, key=0: [x >> np.uint64(62) for x in whole(data, offsets, words, key)] if not key else list(whole(data, offsets, words, key)))
+    texts = spark.createDataFrame([(1, "a b c"), (2, "p q r"), (3, "A B C")], "id long, text string")
+    sets = {r.id: (set(r.shingles), set(r.others)) for r in near_dedup.shingle_arrays(texts, 5).collect()}
+    assert sets[1] == sets[3] and not sets[1][1] & sets[2][1]
+
+
+def test_signatures_up_to_the_distance_share_a_key(spark):
+    """Every pair that differs in at most DISTANCE symbols meets, wherever the symbols stand."""
+    pick = np.random.default_rng(8)
+    n = near_dedup.CHUNKS * near_dedup.SYMBOLS
+    rows = []
+    for k in range(400):
+        x = pick.integers(0, 256, n, dtype=np.uint8)
+        y = x.copy()
+        at = pick.permutation(n)[: k % (near_dedup.DISTANCE + 1)] if k < 300 else np.arange(near_dedup.DISTANCE) * n // near_dedup.DISTANCE
+        y[at] ^= pick.integers(1, 256, len(at), dtype=np.uint8)
+        for i, z in ((2 * k, x), (2 * k + 1, y)):
+            wide = np.zeros((near_dedup.CHUNKS, 8), np.uint8)
+            wide[:, : near_dedup.SYMBOLS] = z.reshape(near_dedup.CHUNKS, -1)
+            rows.append((i, wide.view("<i8").ravel().tolist()))
+    keys = near_dedup.chunk_keys(spark.createDataFrame(rows, "id long, signature array<long>"))
+    met = keys.groupBy("key").agg({"id": "collect_set"}).collect()
+    assert {i // 2 for r in met for i in r[1] if i ^ 1 in r[1]} == set(range(400))
+
+
+def test_variants_just_below_the_threshold(spark):
+    """A group of variants that mostly lie below 0.8 of each other, where several rounds of draws leave mixed buckets."""
+    pick = np.random.default_rng(12)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(150):
+        text = base[:]
+        for at in pick.permutation(120)[: int(pick.integers(3, 9))]:
+            text[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(text)))
+    assert got(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2)) == brute_components(rows, 2, 80)
