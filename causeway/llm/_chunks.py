@@ -72,7 +72,9 @@ def peak_cuts(data: np.ndarray, offsets: np.ndarray, reach: int) -> np.ndarray:
         out, have = x, 1
         while have < width:
             step = min(have, width - have)
-            out = np.maximum(out, np.concatenate([out[step:], np.full(step, -1)]))
+            ahead = np.full(n, -1)
+            ahead[: max(0, n - step)] = out[step:]
+            out = np.maximum(out, ahead)
             have += step
         return out
 

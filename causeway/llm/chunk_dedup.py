@@ -36,7 +36,10 @@ def _ends(column: pa.Array, reach: int) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def chunk_names(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """One row for each chunk: doc_id, chunk (number in the document), hi and lo (its digest)."""
+    """One row for each chunk: doc_id, chunk (number in the row's text), hi and lo (its digest), again.
+
+    again: whether the chunk stands earlier in the same text.
+    """
     require(df, text, doc_id)
     picked = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
 
@@ -48,22 +51,27 @@ def chunk_names(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach
             names = np.frombuffer(names, "<i8").reshape(-1, 2)
             n = np.diff(at)
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((names[:, 1], names[:, 0], row))
+            same = (row[order][1:] == row[order][:-1]) & (names[order][1:] == names[order][:-1]).all(1)
+            again = np.zeros(len(names), bool)
+            again[order[1:][same]] = True  # the sort is stable: the first of equal ones comes first
             chunk = np.arange(len(names)) - np.repeat(at[:-1], n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1])], names=["doc_id", "chunk", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(again)], names=["doc_id", "chunk", "hi", "lo", "again"])
 
-    return picked.mapInArrow(run, picked.select("doc_id", F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo")).schema)
+    shape = picked.select("doc_id", F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(True).alias("again"))
+    return picked.mapInArrow(run, shape.schema)
 
 
 def repeated_chunks(names: DataFrame) -> DataFrame:
-    """doc_id and chunk of every chunk whose digest stands earlier: in a smaller doc_id, or before it in its own."""
-    first = names.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    again = names.join(first, ["hi", "lo"]).select("hi", "lo", "doc_id", "chunk", "first_id")
-    later = again.where("doc_id > first_id").select("doc_id", "chunk")
-    # Within the first document itself, all but the first occurrence.
-    own = again.where("doc_id = first_id")
-    start = own.groupBy("hi", "lo").agg(F.min("chunk").alias("first_chunk"), F.count("*").alias("n")).where("n > 1")
-    inner = own.join(start, ["hi", "lo"]).where("chunk > first_chunk").select("doc_id", "chunk")
-    return later.union(inner)
+    """doc_id and chunk of every chunk whose digest stands earlier: before it in its own text, or in a smaller doc_id.
+
+    Of a text's equal chunks only the first is compared with other texts.
+    """
+    once = names.where("NOT again")
+    first = once.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    later = once.join(first, ["hi", "lo"]).where("doc_id > first_id").select("doc_id", "chunk")
+    return later.union(names.where("again").select("doc_id", "chunk"))
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH, least_run: int = LEAST_RUN) -> DataFrame:
@@ -72,11 +80,11 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     spans (array of struct start, length) are the removed bytes and kept (binary) the others;
     a boundary may fall within a character. Null counts as empty. Rows with a null
     doc_id are kept whole and make nothing a repeat. Rows that repeat a doc_id count as one
-    document's parts with the same chunk numbers: a chunk that only they share stays.
+    document's parts with the same chunk numbers: a chunk that each of them holds once stays.
     """
     picked = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
-    names = chunk_names(picked.where("doc_id IS NOT NULL"), "__text", "doc_id", reach)
-    marks = keep(repeated_chunks(names), "repeats").groupBy("doc_id").agg(F.collect_list("chunk").alias("__repeats"))  # as many as the document has chunks
+    names = keep(chunk_names(picked.where("doc_id IS NOT NULL"), "__text", "doc_id", reach), "chunks")
+    marks = repeated_chunks(names).groupBy("doc_id").agg(F.collect_list("chunk").alias("__repeats"))  # as many as the document has chunks
     joined = picked.join(marks, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,3 +79,17 @@ def test_cuts_of_rows_do_not_depend_on_their_neighbours():
     together = peak_cuts(np.concatenate(texts), offsets, 32)
     apart = np.concatenate([[c + o for c in plain_cuts(t.tobytes(), 32)] for t, o in zip(texts, offsets, strict=False)])
     assert together.tolist() == apart.astype(int).tolist()
+
+
+def test_short_slices(spark):
+    """Partitions whose texts are shorter than the reach or the hash's window, alone or together."""
+    pick = np.random.default_rng(9)
+    long = "".join(chr(97 + c) for c in pick.integers(0, 26, 900))
+    texts = ["b", "b" * 31, long[:32], long[:33], "", None, "b"]
+    for rows in ([(1, "b")], [(1, ""), (2, None)], [(1, long[:31])], [(1, long[:33]), (2, long[:33])], list(enumerate(texts))):
+        df = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], SCHEMA)
+        assert got(chunk_dedup.remove_repeats(df.coalesce(1))) == brute(rows)
+    rows = [(1, "b"), (2, long), (3, long), (4, "cd")]
+    assert got(chunk_dedup.remove_repeats(spark.createDataFrame([(i, t, 1, 1) for i, t in rows], SCHEMA).repartition(4))) == brute(rows)
+    for n in range(1, 70):
+        assert peak_cuts(np.frombuffer(long[:n].encode(), np.uint8), np.array([0, n]), 16).tolist() == plain_cuts(long[:n].encode(), 16)
