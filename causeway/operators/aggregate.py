@@ -65,12 +65,19 @@ def modal_gap(obs: DataFrame, key: Sequence[str], time: str) -> DataFrame:
 
 
 def infer_period(obs: DataFrame, key: Sequence[str], ms: str) -> DataFrame:
-    """Observations in a year of each series, by the shortest gap in days (0 days to 366): 365, 52, 12, 6, 4, 3, 2 or 1."""
+    """Observations in a year of each series, by the shortest gap in days.
+
+    365 for 1 day, 52 for 7, 12 for 28 to 31, 6 for 59 to 62, 4 for 89 to 92, 3 for 120 to 123, 2
+    for 181 to 184, and 1 for any other gap, or none.
+    """
     day = F.floor(F.col(ms) / 86_400_000)
     days = obs.select(*key, day.alias("__d")).distinct().withColumn("__gap", F.col("__d") - F.lag("__d").over(Window.partitionBy(*key).orderBy("__d")))
     least = days.groupBy(*key).agg(F.min("__gap").alias("gap"))
     g = F.col("gap")
-    period = F.when(g < 7, 365).when(g < 28, 52).when(g < 59, 12).when(g < 89, 6).when(g < 120, 4).when(g < 181, 3).when(g < 365, 2).otherwise(1)
+    period = F.when(g == 1, 365).when(g == 7, 52)
+    for low, times in ((28, 12), (59, 6), (89, 4), (120, 3), (181, 2)):  # spans of one to six months, by days
+        period = period.when(g.between(low, low + 3), times)
+    period = period.otherwise(1)
     return least.select(*key, "gap", period.alias("period"))
 
 

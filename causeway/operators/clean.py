@@ -95,6 +95,23 @@ def country_filter(df: DataFrame, countries: Sequence[str], column: str = "count
     return df.where(F.col(column).isin(*countries))
 
 
+def direction_coalesce(df: DataFrame, places: Sequence[str], incoming: str = "Incoming Migrants", variable: str = "variable") -> DataFrame:
+    """Each place (country, state, ...) from destination_<place> for incoming variables, else from source_<place>.
+
+    The two columns of a place become one. A null variable isn't incoming.
+    """
+    into = F.coalesce(F.col(variable) == incoming, F.lit(False))
+    gone = [f"{end}_{p}" for p in places for end in ("source", "destination")]
+    return df.withColumns({p: F.when(into, F.col(f"destination_{p}")).otherwise(F.col(f"source_{p}")) for p in places}).drop(*gone)
+
+
+def end_or_start_date(df: DataFrame) -> DataFrame:
+    """year and month from end_year and end_month; where the end has none (null, -1; 0), from the start's."""
+    year = F.when(F.coalesce("end_year", F.lit(-1)) == -1, F.col("start_year")).otherwise(F.col("end_year"))
+    month = F.when(F.coalesce("end_month", F.lit(0)) == 0, F.col("start_month")).otherwise(F.col("end_month"))
+    return df.withColumns({"year": year, "month": month}).drop("start_year", "start_month", "end_year", "end_month")
+
+
 def daily_to_monthly(df: DataFrame, unit: str = "unit", month: str = "month", value: str = "value") -> DataFrame:
     """Daily amounts times the month's days (February 28; month 0 counts 30)."""
     days = F.when(F.col(month).between(1, 12), F.element_at(F.array(*map(F.lit, MONTH_DAYS)), F.greatest(F.lit(1), F.least(F.lit(12), F.col(month))))).otherwise(30)

@@ -167,11 +167,12 @@ def best_draw(ll: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return (ll.groupBy(*key) if key else ll.groupBy()).agg(best).select(*key, "b.draw", "b.ll")
 
 
-def posterior_weights(ll: DataFrame) -> DataFrame:
-    """Importance weights of prior draws: exp(ll) over their sum, from the largest for safety."""
-    top = ll.agg(F.max("ll").alias("__m"))
-    e = ll.crossJoin(F.broadcast(top)).withColumn("__e", F.exp(F.col("ll") - F.col("__m")))  # one row
-    return e.crossJoin(F.broadcast(e.agg(F.sum("__e").alias("__t")))).select("draw", "ll", (F.col("__e") / F.col("__t")).alias("weight"))  # one row
+def posterior_weights(ll: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """key, draw, ll and weight: exp(ll) over its sum over the draws of one model (key), from the largest for safety."""
+    top = ll.groupBy(*key).agg(F.max("ll").alias("__m"))
+    e = (ll.join(top, list(key)) if key else ll.crossJoin(F.broadcast(top))).withColumn("__e", F.exp(F.col("ll") - F.col("__m")))  # one row without a key
+    total = e.groupBy(*key).agg(F.sum("__e").alias("__t"))
+    return (e.join(total, list(key)) if key else e.crossJoin(F.broadcast(total))).select(*key, "draw", "ll", (F.col("__e") / F.col("__t")).alias("weight"))
 
 
 def credible_interval(samples: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:

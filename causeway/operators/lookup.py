@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,28 +53,60 @@ def indicator_source(indicator: DataFrame) -> DataFrame:
     return indicator.groupBy("variable", "country").agg(F.min("source").alias("source"))
 
 
+def _same(a: DataFrame, b: DataFrame, names: dict[str, str]):
+    """An equi-join condition over pairs of columns in which null equals null."""
+    on = F.lit(True)
+    for x, y in names.items():
+        on &= a[x].eqNullSafe(b[y])
+    return on
+
+
+def _with_free_keys(tuples: DataFrame, keys: Sequence[str], patterns: Sequence[Sequence[str]]) -> DataFrame:
+    """Each tuple once for each pattern of set keys, the others null; a null in a set key matches nothing."""
+    out = tuples.withColumn("__p", F.explode(F.array(*[F.lit(k) for k in range(len(patterns))])))
+    for c in keys:
+        unset = [k for k, p in enumerate(patterns) if c not in p]
+        free = F.col("__p").isin(*unset) if unset else F.lit(False)
+        out = out.withColumn(f"__k_{c}", F.when(~free, F.col(c))).where(free | F.col(c).isNotNull())
+    return out
+
+
+def _matches(requests: DataFrame, tuples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """request and the tuples' columns, for tuples that agree in the variable and in all keys that a request sets.
+
+    Each pattern of set keys that occurs (2 ** keys at most) is an equi-join on all of them.
+    """
+    bits = [F.col(c).isNotNull().alias(c) for c in keys]
+    patterns = [[c for c in keys if row[c]] for row in requests.select(*bits).distinct().collect()]
+    if not patterns:
+        return requests.select("request").limit(0).crossJoin(tuples.limit(0))
+    each = _with_free_keys(tuples, keys, patterns)
+    r = requests.select("request", F.col("variable").alias("__v"), *[F.col(c).alias(f"__r_{c}") for c in keys])
+    on = (r["__v"] == each["variable"]) & _same(r, each, {f"__r_{c}": f"__k_{c}" for c in keys})
+    return r.join(each, on).select("request", *tuples.columns)
+
+
 def lookup_strict(requests: DataFrame, indicator: DataFrame, heuristic: bool = True) -> DataFrame:
-    """request and value for (variable, country, state, unit, year, month), null request keys ignored.
+    """request and value for (variable, country, state, county, unit, year, month), null request keys ignored.
 
     Without a unit in the request the first by name counts. Where the month has no value, a
-    twelfth of the year's (month 0) may stand in. Several values give a row each.
+    twelfth of the year's (month 0) may stand in. Several values give a row each. Keys that
+    requests or observations have no column of are ignored.
     """
+    have = [c for c in CASCADE if c in requests.columns and c in indicator.columns]
+    tuples = write_table(indicator.select("variable", *have).distinct(), "tuples")
+
+    def found(data: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+        hits = _matches(requests, data, keys)
+        first = hits.groupBy("request").agg(F.min("unit").alias("unit"))
+        hits = hits.join(first, ["request", "unit"])
+        return hits.join(indicator, (hits["variable"] == indicator["variable"]) & _same(hits, indicator, {c: c for c in have})).select("request", F.col("value").alias(value))
 
-    def found(rows: DataFrame, month: str, value: str) -> DataFrame:
-        i, r = indicator.alias("i"), rows.alias("r")
-        on = F.col("i.variable") == F.col("r.variable")
-        for c in ("country", "state", "unit", "year"):
-            on &= F.col(f"r.{c}").isNull() | (F.col(f"i.{c}") == F.col(f"r.{c}"))
-        on &= F.expr(month)
-        hits = r.join(i, on).select("r.request", F.col("i.unit").alias("__unit"), F.col("i.value").alias(value))
-        first = hits.groupBy("request").agg(F.min("__unit").alias("__unit"))
-        return hits.join(first, ["request", "__unit"]).select("request", value)
-
-    exact = found(requests, "r.month IS NULL OR i.month = r.month", "value")
+    exact = found(tuples, have, "value")
     out = requests.select("request").join(exact, "request", "left")
     if not heuristic:
         return out
-    annual = found(requests, "i.month = 0", "annual").groupBy("request").agg(F.min("annual").alias("annual"))
+    annual = found(tuples.where("month = 0"), [c for c in have if c != "month"], "annual").groupBy("request").agg(F.min("annual").alias("annual"))
     return out.join(annual, "request", "left").select("request", F.coalesce("value", F.col("annual") / 12).alias("value"))
 
 
@@ -81,17 +114,28 @@ def lookup_cascade(requests: DataFrame, indicator: DataFrame) -> DataFrame:
     """request and value: each key filters only if it leaves a row; a null key is no filter.
 
     country, state, county, unit (else the first unit by name), year, month, in this order and on
-    the rows that survived so far. A window over a request's rows replaces a query for each level.
+    the rows that survived so far. The distinct key tuples decide: a level joins requests with
+    those that agree in the keys settled so far, free ones being null on both sides, and settles
+    one key more. Values are joined once, at the end, on all settled keys.
     """
-    r = requests.select("request", "variable", *[F.col(c).alias(f"r_{c}") for c in CASCADE])
-    rows = r.join(indicator, "variable")
-    w = Window.partitionBy("request")
+    tuples = write_table(indicator.select("variable", *CASCADE).distinct(), "tuples")
+    r = requests.select("request", "variable", *CASCADE).join(tuples.select("variable").distinct(), "variable", "left_semi")
+    settled: list[str] = []
     for c in CASCADE:
+        level = tuples.select("variable", *settled, c).distinct()
+        for p in settled:
+            level = level.withColumn(p, F.explode(F.array(F.col(p), F.lit(None)))).distinct()
+        level = level.select(F.col("variable").alias("__v"), *[F.col(p).alias(f"__k_{p}") for p in settled], F.col(c).alias("__c"))
+        pairs = {f"__p_{p}": f"__k_{p}" for p in settled}
+        known = level.where("__c IS NOT NULL").withColumn("__hit", F.lit(True))
+        r = r.join(known, (r["variable"] == known["__v"]) & (r[c] == known["__c"]) & _same(r, known, pairs), "left").withColumn(f"__p_{c}", F.when(F.col("__hit"), F.col(c))).drop(*known.columns)
         if c == "unit":
-            rows = rows.withColumn("r_unit", F.when(F.max(F.coalesce(F.col("unit") == F.col("r_unit"), F.lit(False))).over(w), F.col("r_unit")).otherwise(F.min("unit").over(w)))
-        hit = F.coalesce(F.col(c) == F.col(f"r_{c}"), F.lit(False))
-        rows = rows.withColumns({"__hit": hit, "__any": F.max(hit).over(w)}).where("__hit OR NOT __any").drop("__hit", "__any")
-    return rows.select("request", "value")
+            first = level.groupBy("__v", *pairs.values()).agg(F.min("__c").alias("__first"))
+            r = r.join(first, (r["variable"] == first["__v"]) & _same(r, first, pairs), "left").withColumn("__p_unit", F.coalesce("__p_unit", "__first")).drop(*first.columns)
+        settled.append(c)
+    r = write_table(r.select("request", "variable", *[F.col(f"__p_{c}").alias(c) for c in CASCADE]), "settled")
+    hits = _matches(r, tuples, CASCADE)
+    return hits.join(indicator, (hits["variable"] == indicator["variable"]) & _same(hits, indicator, {c: c for c in CASCADE})).select("request", "value")
 
 
 def align_requests(mapped: DataFrame, start: int, end: int) -> DataFrame:

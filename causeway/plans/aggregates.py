@@ -69,7 +69,7 @@ def _(v):
 
 
 @query("e10_infer_period", """WITH d AS (SELECT DISTINCT o_custkey AS k, epoch_us(o_orderdate) // 86400000000 AS d FROM orders), g AS (SELECT k, d - lag(d) OVER (PARTITION BY k ORDER BY d) AS gap FROM d)
-    SELECT k, min(gap) AS gap, CAST(CASE WHEN min(gap) < 7 THEN 365 WHEN min(gap) < 28 THEN 52 WHEN min(gap) < 59 THEN 12 WHEN min(gap) < 89 THEN 6 WHEN min(gap) < 120 THEN 4 WHEN min(gap) < 181 THEN 3 WHEN min(gap) < 365 THEN 2 ELSE 1 END AS INT) AS period FROM g GROUP BY k""")
+    SELECT k, min(gap) AS gap, CAST(CASE WHEN min(gap) = 1 THEN 365 WHEN min(gap) = 7 THEN 52 WHEN min(gap) IN (28, 29, 30, 31) THEN 12 WHEN min(gap) IN (59, 60, 61, 62) THEN 6 WHEN min(gap) IN (89, 90, 91, 92) THEN 4 WHEN min(gap) IN (120, 121, 122, 123) THEN 3 WHEN min(gap) IN (181, 182, 183, 184) THEN 2 ELSE 1 END AS INT) AS period FROM g GROUP BY k""")
 def _(v):
     return A.infer_period(v.table("orders").select(F.col("o_custkey").alias("k"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms")), ["k"], "ms")
 

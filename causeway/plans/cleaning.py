@@ -142,6 +142,28 @@ def _(v):
     return clean.range_filter(v.indicator, "value", 1, 5).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("b18_direction_coalesce", """SELECT CASE WHEN l_linenumber % 3 = 0 THEN s.n_name ELSE c.n_name END AS country, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus ELSE l_returnflag END AS state, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY ALL""")
+def _(v):
+    n = v.table("nation")
+    src, dst = (n.select(F.col("n_nationkey").alias(f"{end[0]}_nationkey"), F.col("n_name").alias(f"{end}_country")) for end in ("customer", "supplier"))
+    moves = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(src, "c_nationkey")
+    moves = moves.join(v.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(dst, "s_nationkey").select(
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("Incoming Migrants")).when(F.col("l_linenumber") % 3 == 1, F.lit("Outgoing Migrants")).alias("variable"),
+        F.col("customer_country").alias("source_country"), F.col("supplier_country").alias("destination_country"), F.col("l_returnflag").alias("source_state"), F.col("l_linestatus").alias("destination_state"),
+    )
+    return clean.direction_coalesce(moves, ["country", "state"]).groupBy("country", "state").agg(F.count("*").alias("n"))
+
+
+@query("b19_end_or_start_date", """SELECT CAST(CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END AS INT) AS year, CAST(CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 5 = 0 THEN month(o_orderdate) ELSE 13 - month(o_orderdate) END AS INT) AS month, count(*) AS n FROM orders GROUP BY ALL""")
+def _(v):
+    dated = v.table("orders").selectExpr(
+        "year(o_orderdate) start_year", "month(o_orderdate) start_month", "case when o_orderkey % 3 = 0 then -1 when o_orderkey % 7 > 0 then year(o_orderdate) + 1 end end_year",
+        "case when o_orderkey % 4 = 0 then 0 when o_orderkey % 5 > 0 then 13 - month(o_orderdate) end end_month",
+    )
+    return clean.end_or_start_date(dated).groupBy("year", "month").agg(F.count("*").alias("n"))
+
+
 @query("b17_country_filter", "SELECT country, state, count(*) AS n FROM indicator WHERE country IN ('ASIA', 'EUROPE') GROUP BY ALL", "indicator")
 def _(v):
     return clean.country_filter(v.indicator, ["ASIA", "EUROPE"]).groupBy("country", "state").agg(F.count("*").alias("n"))

@@ -124,10 +124,10 @@ def _(v):
     return rounded(K.derivative_clamp(_cells(v), state, K.displacements(state, 6), [(head, 3, 5.0)] if head else [], 6), "value")
 
 
-@query("k8_head_constraint", "SELECT concept AS name, step, round(CASE WHEN step % 10 = 0 THEN 1 ELSE value END, 3) AS value FROM means", "steps means")
+@query("k8_head_constraint", "SELECT concept AS name, step, CASE WHEN step % 10 = 0 THEN 1 ELSE value END AS value FROM means", "steps means")
 def _(v):
     seq = v.means.select(F.col("concept").alias("name"), "step", "value")
-    return rounded(K.head_constraint(seq, seq.where("step % 10 = 0").withColumn("value", F.lit(1.0))), "value", digits=3)
+    return K.head_constraint(seq, seq.where("step % 10 = 0").withColumn("value", F.lit(1.0)))
 
 
 @query("k9_forecast_format", "SELECT indicator, step, '2000-' || step AS label, CAST(row_number() OVER (PARTITION BY indicator, step ORDER BY value) AS INT) AS rank, value FROM forecast WHERE step > 0", "forecast")

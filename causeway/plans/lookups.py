@@ -10,7 +10,7 @@ from causeway.plans.registry import query
 
 def _requests(v):
     """One request for each order: keys by arithmetic, some of them null or unmatched."""
-    return v.table("orders").where("o_orderkey % 50 = 0").selectExpr(
+    return v.table("orders").selectExpr(
         "o_orderkey request", "element_at(array('A', 'N', 'R'), cast(o_orderkey % 3 + 1 as int)) variable", "cast(null as string) county",
         "element_at(array('ASIA', 'EUROPE', 'NOWHERE'), cast(o_custkey % 3 + 1 as int)) country", "case when o_orderkey % 4 = 0 then null else concat('NATION_', o_custkey % 30) end state",
         "case when o_orderkey % 7 < 3 then 'O' when o_orderkey % 7 < 5 then 'X' end unit", "cast(1995 + o_custkey % 8 as int) year", "cast(o_custkey % 14 as int) month",
@@ -19,7 +19,7 @@ def _requests(v):
 
 _REQ = """SELECT o_orderkey AS request, ['A', 'N', 'R'][o_orderkey % 3 + 1] AS variable, CAST(NULL AS VARCHAR) AS county, ['ASIA', 'EUROPE', 'NOWHERE'][o_custkey % 3 + 1] AS country,
     CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'NATION_' || (o_custkey % 30) END AS state, CASE WHEN o_orderkey % 7 < 3 THEN 'O' WHEN o_orderkey % 7 < 5 THEN 'X' END AS unit,
-    CAST(1995 + o_custkey % 8 AS INT) AS year, CAST(o_custkey % 14 AS INT) AS month FROM orders WHERE o_orderkey % 50 = 0"""
+    CAST(1995 + o_custkey % 8 AS INT) AS year, CAST(o_custkey % 14 AS INT) AS month FROM orders"""
 
 
 @query("d1_map_concepts")
@@ -28,9 +28,10 @@ def _(v):
     return lookup.map_concepts(v.concept_map.select("concept"), v.concept_map, data, 2)
 
 
-@query("d1_unmapped", "SELECT p_type AS concept, 0 AS n FROM part GROUP BY 1")
+@query("d1_unmapped", "SELECT p_type AS concept, CAST(count(DISTINCT p_brand) FILTER (p_brand LIKE '%2') AS INT) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) FILTER (p_brand LIKE '%2') < 4")
 def _(v):
-    return lookup.unmapped(v.concept_map.select("concept"), v.concept_map.limit(0)).select("concept", F.col("n").cast("int").alias("n"))
+    mapped = v.concept_map.where("indicator LIKE '%2'").select("concept", "indicator").distinct()
+    return lookup.unmapped(v.concept_map.select("concept"), mapped, 4).select("concept", F.col("n").cast("int").alias("n"))
 
 
 @query("d2_indicator_source", "SELECT variable, country, min(source) AS source FROM indicator GROUP BY 1, 2", "indicator")
@@ -38,7 +39,7 @@ def _(v):
     return lookup.indicator_source(v.indicator)
 
 
-_STRICT = """hits AS (SELECT request, i.unit, i.value FROM req r JOIN indicator i ON i.variable = r.variable AND (r.country IS NULL OR i.country = r.country) AND (r.state IS NULL OR i.state = r.state)
+_STRICT = """hits AS (SELECT request, i.unit, i.value FROM req r JOIN indicator i ON i.variable = r.variable AND (r.country IS NULL OR i.country = r.country) AND (r.state IS NULL OR i.state = r.state) AND (r.county IS NULL OR i.county = r.county)
         AND (r.unit IS NULL OR i.unit = r.unit) AND (r.year IS NULL OR i.year = r.year) AND (r.month IS NULL OR i.month = r.month)),
     picked AS (SELECT request, value FROM hits QUALIFY unit = min(unit) OVER (PARTITION BY request))"""
 
@@ -59,13 +60,12 @@ def _(v):
 
 
 def _cascade_sql() -> str:
-    last, steps = "SELECT r.request, r.country AS r_country, r.state AS r_state, r.county AS r_county, r.unit AS r_unit, r.year AS r_year, r.month AS r_month, i.* FROM req r JOIN indicator i ON i.variable = r.variable", []
-    for k, c in enumerate(lookup.CASCADE):
-        if c == "unit":
-            last = f"SELECT * REPLACE (CASE WHEN bool_or(coalesce(unit = r_unit, false)) OVER w THEN r_unit ELSE min(unit) OVER w END AS r_unit) FROM ({last}) WINDOW w AS (PARTITION BY request)"
-        steps.append(f"c{k} AS (SELECT * FROM ({last}) QUALIFY coalesce({c} = r_{c}, false) OR NOT bool_or(coalesce({c} = r_{c}, false)) OVER (PARTITION BY request))")
-        last = f"SELECT * FROM c{k}"
-    return f"WITH req AS ({_REQ}), {', '.join(steps)} SELECT request, count(*) AS n, round(sum(value), 6) AS total FROM c{len(lookup.CASCADE) - 1} GROUP BY 1"
+    steps, settled, last = ["t AS (SELECT DISTINCT variable, country, state, county, unit, year, month FROM indicator)"], "t.variable = r.variable", "(SELECT * FROM req WHERE variable IN (SELECT variable FROM t))"
+    for c in lookup.CASCADE:
+        other = f"(SELECT min(t.unit) FROM t WHERE {settled})" if c == "unit" else "NULL"
+        steps.append(f"c_{c} AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM t WHERE {settled} AND t.{c} = r.{c}) THEN r.{c} ELSE {other} END AS p_{c} FROM {last} r)")
+        last, settled = f"c_{c}", settled + f" AND (r.p_{c} IS NULL OR t.{c} = r.p_{c})"
+    return f"WITH req AS ({_REQ}), {', '.join(steps)} SELECT request, count(*) AS n, round(sum(value), 6) AS total FROM {last} r JOIN indicator t ON {settled} GROUP BY 1"
 
 
 @query("d4_lookup_cascade", _cascade_sql(), "indicator")

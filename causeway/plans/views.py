@@ -13,7 +13,7 @@ SQL = {
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "obs": "SELECT event_type AS concept, 'i_' || event_type AS indicator, epoch_us(ts) // 1000 AS ts_ms, value FROM events",
     "steps": """SELECT o_orderpriority AS concept, 'i_' || o_orderpriority AS indicator, CAST(12 * (year(o_orderdate) - 1990) + month(o_orderdate) - 1 AS INT) AS step, o_totalprice AS value FROM orders""",
-    "means": "SELECT concept, indicator, step, avg(value) AS value FROM steps GROUP BY ALL",
+    "means": "SELECT concept, indicator, step, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(value) / 100 AS value FROM steps GROUP BY ALL",
     "evidence": """SELECT CAST(l_orderkey AS BIGINT) AS stmt, CAST(l_linenumber AS INT) AS evid, 'n' || c_nationkey AS subj, 'n' || s_nationkey AS obj, 1 - l_discount AS belief,
         l_quantity / 50 AS subj_score, (o_totalprice % 100) / 100 AS obj_score, CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END AS subj_pol, CASE l_linestatus WHEN 'F' THEN -1 ELSE 1 END AS obj_pol,
         CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE o_orderpriority END AS subj_adj, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE o_orderstatus END AS obj_adj
@@ -58,7 +58,8 @@ class Views:
 
     @cached_property
     def means(self) -> DataFrame:
-        return self.steps.groupBy("concept", "indicator", "step").agg(F.avg("value").alias("value"))
+        cents = F.sum(F.round(F.col("value") * 100).cast("long"))  # whole numbers: any order of adding gives the same mean
+        return self.steps.groupBy("concept", "indicator", "step").agg((cents.cast("double") / F.count("value") / 100).alias("value"))
 
     @cached_property
     def _joined(self) -> DataFrame:

@@ -186,3 +186,44 @@ def test_random_graph_is_connected(spark):
     g = forecast.random_graph(spark, 30, 10, seed=2)
     both = g.union(g.select("dst", "src")).selectExpr("cast(src as string) src", "cast(dst as string) dst")
     assert graph.k_hop(both, names(spark, "0")).count() == 30
+
+
+def test_lookups_against_filters_row_by_row(spark):
+    """Both lookups, the county among their keys, against a walk over all observations for each request."""
+    import random
+
+    from causeway.operators import lookup
+
+    pick = random.Random(4)
+    keys = ["country", "state", "county", "unit", "year", "month"]
+    choices = {"country": ["A", "B", None], "state": ["S", "T", None], "county": ["x", "y", None], "unit": ["kg", "t"], "year": [1, 2], "month": [0, 1, 2]}
+    wanted = {**choices, "unit": ["kg", "lb", None], "year": [1, 3, None], "month": [1, 2, 5, None]}
+    data = [(pick.choice("vw"), *[pick.choice(choices[k]) for k in keys], float(i)) for i in range(120)]
+    ask = [(i, pick.choice("vwz"), *[pick.choice(wanted[k]) for k in keys]) for i in range(80)]
+    kinds = "variable string, country string, state string, county string, unit string, year int, month int"
+    indicator, requests = spark.createDataFrame(data, f"{kinds}, value double"), spark.createDataFrame(ask, f"request int, {kinds}")
+
+    def strict(r):
+        def found(month):
+            rows = [d for d in data if d[0] == r[1] and all(r[2 + k] is None or d[1 + k] == r[2 + k] for k in range(5)) and month(d)]
+            return [d[7] for d in rows if d[4] == min(x[4] for x in rows)]
+
+        exact, annual = found(lambda d: r[7] is None or d[6] == r[7]), found(lambda d: d[6] == 0)
+        return exact or [min(annual) / 12 if annual else None]
+
+    def cascade(r):
+        rows = [d for d in data if d[0] == r[1]]
+        for k in range(6):
+            want = r[2 + k]
+            if k == 3 and rows and not any(d[4] == want for d in rows):
+                want = min(d[4] for d in rows)
+            rows = [d for d in rows if want is not None and d[1 + k] == want] or rows
+        return [d[7] for d in rows]
+
+    def same(df, plain):
+        rows = sorted((x.request, x.value is None, x.value or 0) for x in df.collect())
+        assert rows == sorted((r[0], v is None, v or 0) for r in ask for v in plain(r))
+
+    same(lookup.lookup_strict(requests, indicator), strict)
+    same(lookup.lookup_cascade(requests, indicator), cascade)
+    assert lookup.lookup_cascade(requests.limit(0), indicator).count() == 0 == lookup.lookup_strict(requests.limit(0), indicator).count()
