@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions import month_index, normal
+from causeway.functions import month_index, normal, uniform
 
 
 def initial_state(nodes: DataFrame, seed: int | None = None) -> DataFrame:
@@ -226,10 +226,14 @@ def synthetic_obs(forecast: DataFrame, sd: float, seed: int = 0) -> DataFrame:
     return forecast.withColumn("value", F.col("value") + sd * normal(*keys, seed=seed))
 
 
-def random_graph(spark, n: int, extra: int, seed: int = 0) -> DataFrame:
-    """src, dst of a connected random graph: each node but the first gets an earlier parent, then extras."""
-    from causeway.functions import uniform
+def random_graph(nodes: DataFrame, extra: float, seed: int = 0) -> DataFrame:
+    """src, dst of a connected random graph over nodes (id: distinct, not negative): every node but the
+    least gets a smaller parent, and a share of `extra` of them one more neighbour.
 
-    tree = spark.range(1, n).select(F.floor(uniform(F.col("id"), seed=seed) * F.col("id")).cast("long").alias("src"), F.col("id").alias("dst"))
-    more = spark.range(extra).select(F.floor(uniform(F.col("id"), seed=seed + 1) * n).cast("long").alias("src"), F.floor(uniform(F.col("id"), seed=seed + 2) * n).cast("long").alias("dst")).where("src <> dst")
-    return tree.union(more).distinct()
+    A neighbour is drawn as a number below the id; where no node has that id, the least node stands in.
+    """
+    least = nodes.agg(F.min("id").alias("__least"))
+    drawn = lambda rows, at: rows.select("id", F.floor(uniform(F.col("id"), seed=seed + at) * F.col("id")).cast("long").alias("__to"))
+    wanted = drawn(nodes, 0).union(drawn(nodes.where(uniform(F.col("id"), seed=seed + 1) < extra), 2))
+    met = wanted.join(nodes.select(F.col("id").alias("__met")), F.col("__to") == F.col("__met"), "left")
+    return met.crossJoin(F.broadcast(least)).select(F.coalesce("__met", "__least").alias("src"), F.col("id").alias("dst")).where("src <> dst").distinct()  # least: one row

@@ -159,9 +159,10 @@ def pair_common_ancestor(edges: DataFrame, pairs: DataFrame, cutoff: int) -> Dat
     up = simple_paths(edges, cutoff).select(F.col("src").alias("anc"), F.col("dst").alias("name")).distinct()
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     up = write_table(up.union(names.select(F.col("name").alias("anc"), "name")).distinct(), "ancestors")
-    common = pairs.join(up.withColumnRenamed("name", "a"), "a").join(up.withColumnRenamed("name", "b"), ["b", "anc"]).select("a", "b", "anc")
-    lower = up.where("anc <> name").withColumnsRenamed({"name": "low"})
-    above = common.join(lower, "anc").join(common.withColumnRenamed("anc", "low"), ["a", "b", "low"], "left_semi").select("a", "b", "anc")
+    common = write_table(pairs.join(up.withColumnRenamed("name", "a"), "a").join(up.withColumnRenamed("name", "b"), ["b", "anc"]).select("a", "b", "anc"), "common")
+    # Descendants that are common ancestors of any pair: hardly any of a hub's.
+    lower = up.where("anc <> name").withColumnRenamed("name", "low").join(common.select(F.col("anc").alias("low")).distinct(), "low", "left_semi")
+    above = common.join(common.withColumnRenamed("anc", "low"), ["a", "b"]).join(lower, ["anc", "low"], "left_semi").select("a", "b", "anc")
     return common.join(above, ["a", "b", "anc"], "left_anti").groupBy("a", "b").agg(F.min("anc").alias("ancestor"))
 
 

@@ -17,8 +17,8 @@ def clean_bounds(bounds: Mapping[str, Sequence[float]]) -> dict[str, tuple[float
     return {k: (float(b[0]), float(b[1])) if len(b) == 2 and b[0] < b[1] else (0.0, 1.0) for k, b in bounds.items()}
 
 
-def design_table(spark, bounds: Mapping[str, Sequence[float]], n: int, seed: int = 0, categories: Sequence[str] = ()) -> DataFrame:
-    """id, block and a column for each variable: blocks A, B, and for each variable A with B's value of it.
+def design_table(ids: DataFrame, bounds: Mapping[str, Sequence[float]], seed: int = 0, categories: Sequence[str] = ()) -> DataFrame:
+    """id, block and a column for each variable, for each row of ids (id): blocks A, B, and for each variable A with B's value of it.
 
     Values are hashed from row and variable. A category is 0 or 1, by half of its bounds.
     """
@@ -31,7 +31,7 @@ def design_table(spark, bounds: Mapping[str, Sequence[float]], n: int, seed: int
 
     names = list(clean)
     blocks = F.explode(F.array(F.lit("A"), F.lit("B"), *[F.lit(f"A_{v}") for v in names])).alias("block")
-    rows = spark.range(n).select("id", blocks)
+    rows = ids.select("id", blocks)
     return rows.select("id", "block", *[F.when((F.col("block") == "B") | (F.col("block") == f"A_{v}"), value(v, k, "B")).otherwise(value(v, k, "A")).alias(v) for k, v in enumerate(names)])
 
 

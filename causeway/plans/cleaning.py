@@ -39,11 +39,11 @@ def _(v):
     return writers.write_variable_list(v.table("part").select(F.col("p_type").alias("variable")), "variables").withColumnRenamed("value", "variable")
 
 
-@query("a19_edges_json", """SELECT src, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS targets FROM edges GROUP BY src""", "edges")
+@query("a19_edges_json", """SELECT dst, count(*) AS n, string_agg(src, ',' ORDER BY src) AS sources FROM edges GROUP BY dst""", "edges")
 def _(v):
-    parsed = F.from_json("edges", "array<struct<dst:string>>")
-    docs = writers.edges_json(v.edges.withColumn("model", F.col("src")), ["model"], ["dst"])
-    return docs.select(F.col("model").alias("src"), F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda e: e["dst"]), ",").alias("targets"))
+    parsed = F.from_json("edges", "array<struct<src:string>>")
+    docs = writers.edges_json(v.edges.withColumn("model", F.col("dst")), ["model"], ["src"])  # few edges lead to a node, many away from one
+    return docs.select(F.col("model").alias("dst"), F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda e: e["src"]), ",").alias("sources"))
 
 
 @query("a20_export_state", "SELECT concept, indicator, count(*) AS n, round(avg(value), 6) AS mean FROM steps GROUP BY ALL", "steps")
@@ -250,20 +250,21 @@ def _(v):
 
 
 @query("c5_remove_nodes", """SELECT 'edge' AS kind, src || '>' || dst AS name FROM edges WHERE src NOT IN ('n1', 'n2') AND dst NOT IN ('n1', 'n2') UNION ALL
-    SELECT 'node', name FROM (SELECT src AS name FROM edges UNION SELECT dst FROM edges) WHERE name NOT IN ('n1', 'n2') UNION ALL SELECT 'missing', 'n' || n_nationkey FROM nation WHERE (n_nationkey > 20 OR n_nationkey IN (1, 2)) AND 'n' || n_nationkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)""", "edges")
+    SELECT 'node', name FROM (SELECT src AS name FROM edges UNION SELECT dst FROM edges) WHERE name NOT IN ('n1', 'n2') UNION ALL SELECT 'missing', 'x' || n_nationkey FROM nation WHERE n_nationkey > 20""", "edges")
 def _(v):
-    gone = v.table("nation").where("n_nationkey IN (1, 2) OR n_nationkey > 20").select(F.concat(F.lit("n"), "n_nationkey").alias("name"))
+    gone = v.table("nation").where("n_nationkey IN (1, 2) OR n_nationkey > 20").selectExpr("concat(CASE WHEN n_nationkey > 20 THEN 'x' ELSE 'n' END, n_nationkey) AS name")
     nodes = v.edges.select(F.col("src").alias("name")).union(v.edges.select("dst")).distinct()
     left, kept, missing = clean.remove_nodes(nodes, v.edges, gone)
     return kept.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("name")).union(left.select(F.lit("node"), "name")).union(missing.select(F.lit("missing"), "name"))
 
 
 @query("c5_remove_edges", """SELECT g.src, g.dst, CASE WHEN g.src NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) THEN 'bad source' WHEN g.dst NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) THEN 'bad target' ELSE 'no edge' END AS reason
-    FROM (SELECT 'n' || a.n_nationkey AS src, 'n' || b.n_nationkey AS dst FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 2) g LEFT JOIN edges e ON g.src = e.src AND g.dst = e.dst WHERE e.src IS NULL""", "edges")
+    FROM (SELECT 'n' || c_nationkey AS src, 'c' || (c_custkey + 1) AS dst FROM customer UNION SELECT 'g' || c_mktsegment, 's' || c_custkey FROM customer UNION SELECT 'x' || c_custkey, 'c' || c_custkey FROM customer) g LEFT JOIN edges e ON g.src = e.src AND g.dst = e.dst WHERE e.src IS NULL""", "edges")
 def _(v):
-    n = v.table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), F.col("n_nationkey") + 2).alias("dst")).where("cast(substr(dst, 2) as int) < 25")
+    told = "stack(3, concat('n', c_nationkey), concat('c', c_custkey + 1), concat('g', c_mktsegment), concat('s', c_custkey), concat('x', c_custkey), concat('c', c_custkey)) AS (src, dst)"
+    gone = v.table("customer").selectExpr(told).distinct()
     nodes = v.edges.select(F.col("src").alias("name")).union(v.edges.select("dst")).distinct()
-    return clean.remove_edges(nodes, v.edges, n)[1]
+    return clean.remove_edges(nodes, v.edges, gone)[1]
 
 
 @query("c6_union_timestamps", "SELECT DISTINCT ts_ms FROM obs", "obs")

@@ -8,8 +8,8 @@ from causeway.operators import graph as I
 from causeway.plans.registry import query
 
 _WALK = """RECURSIVE walk AS (SELECT src, dst, [src, dst] AS path FROM {e} UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN {e} e ON w.dst = e.src WHERE NOT list_contains(w.path, e.dst) AND len(w.path) <= {more})"""
-#: No simple path of the graph's 12 nodes has more edges, so that none is cut.
-CUTOFF = 11
+#: More than the 3 edges of the graph's longest simple paths (nation, region, nation, customer), so that none is cut.
+CUTOFF = 5
 
 
 def _recursive(views: str, e: str, tail: str) -> str:
@@ -48,9 +48,9 @@ def _(v):
     return I.induced(v.edges, I.k_hop(v.edges, _start(v, ["n0"]), 1))
 
 
-@query("i3_between", _recursive("edges", "edges", "SELECT DISTINCT unnest(path) AS name FROM walk WHERE src = 'n0' AND dst = 'n7'"))
+@query("i3_between", _recursive("edges", "edges", "SELECT DISTINCT unnest(path) AS name FROM walk WHERE src = 'n0' AND dst = 'c1'"))
 def _(v):
-    return I.between(v.edges, _start(v, ["n0"]), _start(v, ["n7"]), CUTOFF)
+    return I.between(v.edges, _start(v, ["n0"]), v.edges.where("dst = 'c1'").select(F.col("dst").alias("name")).distinct(), CUTOFF)
 
 
 @query("i4_simple_paths", _recursive("edges", "edges", "SELECT src, dst, array_to_string(path, '>') AS path FROM walk"))
@@ -103,16 +103,16 @@ def _(v):
 @query("i10_influence_blanket")
 def _(v):
     names = v.dag.select(F.col("src").alias("name")).union(v.dag.select("dst")).distinct()
-    number = F.substring("name", 2, 3).cast("int")
-    nodes = names.select("name", F.when(number % 2 == 0, "variable").otherwise("function").alias("type"), F.when(number % 5 == 0, "L").otherwise("F").alias("label"))
-    return I.influence_blanket(v.dag, nodes, names.where("name = 'n0'"), "n7", CUTOFF)
+    kind = F.substring("name", 1, 1)
+    nodes = names.select("name", F.when(kind.isin("n", "g"), "function").otherwise("variable").alias("type"), F.when(kind == "g", "L").otherwise("F").alias("label"))
+    return I.influence_blanket(v.dag, nodes, names.where("name = 'r0'"), "c1", CUTOFF)
 
 
-@query("i11_pair_common_ancestor", _recursive("edges dag", "dag", """, up AS (SELECT DISTINCT src AS anc, dst AS name FROM walk UNION SELECT src, src FROM dag UNION SELECT dst, dst FROM dag), c AS (SELECT x.name AS a, y.name AS b, x.anc FROM up x JOIN up y ON x.anc = y.anc WHERE x.name < y.name)
+@query("i11_pair_common_ancestor", _recursive("edges dag", "dag", """, up AS (SELECT DISTINCT src AS anc, dst AS name FROM walk UNION SELECT src, src FROM dag UNION SELECT dst, dst FROM dag), pr AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT pr.a, pr.b, x.anc FROM pr JOIN up x ON x.name = pr.a JOIN up y ON y.name = pr.b AND y.anc = x.anc)
     SELECT a, b, min(anc) AS ancestor FROM c WHERE NOT EXISTS (SELECT 1 FROM c d JOIN up u ON u.name = d.anc AND u.anc = c.anc AND u.anc <> u.name WHERE d.a = c.a AND d.b = c.b) GROUP BY ALL""").replace(" , up AS", ", up AS"))
 def _(v):
-    names = v.dag.select(F.col("src").alias("a")).union(v.dag.select("dst")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))  # a handful of concepts
+    lines = v.table("orders").join(v.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = lines.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
     return I.pair_common_ancestor(v.dag, pairs, CUTOFF)
 
 

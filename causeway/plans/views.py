@@ -18,12 +18,14 @@ SQL = {
         l_quantity / 50 AS subj_score, (o_totalprice % 100) / 100 AS obj_score, CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END AS subj_pol, CASE l_linestatus WHEN 'F' THEN -1 ELSE 1 END AS obj_pol,
         CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE o_orderpriority END AS subj_adj, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE o_orderstatus END AS obj_adj
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "edges": "SELECT DISTINCT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < 12 AND s_nationkey < 12 AND (s_nationkey - c_nationkey + 12) % 12 IN (1, 5)",
-    "dag": "SELECT src, dst FROM edges WHERE CAST(substr(src, 2) AS INT) < CAST(substr(dst, 2) AS INT)",
+    "edges": """SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+        UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'g' || c_mktsegment, 'c' || c_custkey FROM customer
+        UNION SELECT unnest(['r' || n_regionkey, 'r' || n_regionkey]), unnest(['g' || c_mktsegment, 'c' || c_custkey]) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "dag": "SELECT src, dst FROM edges WHERE NOT (src LIKE 'n%' AND dst LIKE 'r%')",
     "concept_map": "SELECT p_type AS concept, 'P' AS source, p_brand AS indicator, p_retailprice / 1000 AS score FROM part",
     "responses": "SELECT o_orderpriority AS adjective, CAST(o_orderkey % 101 - 50 AS DOUBLE) / 50 AS response FROM orders",
     "timings": "SELECT CAST(o_custkey % 8 AS INT) AS nodes, CAST(o_orderkey % 4 AS INT) AS edges, o_orderstatus AS kind, o_totalprice AS wall, o_totalprice / 2 AS cpu FROM orders",
-    "theta": "SELECT src, dst, CAST((CAST(substr(src, 2) AS INT) * 7 + CAST(substr(dst, 2) AS INT) * 3) % 19 - 9 AS DOUBLE) / 10 AS theta FROM dag",
+    "theta": "SELECT src, dst, CAST((ascii(substr(src, 2)) * 7 + ascii(right(dst, 1)) * 3) % 19 - 9 AS DOUBLE) / 10 AS theta FROM dag",
     "draws": "SELECT CAST(d AS INT) AS draw, src, dst, theta + CAST(d AS DOUBLE) / 20 AS theta FROM theta, range(0, 10) t(d)",
     "forecast": "SELECT CAST(l_linenumber AS INT) AS step, l_returnflag AS indicator, CAST(l_orderkey AS BIGINT) AS sample, l_extendedprice AS value FROM lineitem",
 }
@@ -77,13 +79,23 @@ class Views:
 
     @cached_property
     def edges(self) -> DataFrame:
-        gap = (F.col("s_nationkey") - F.col("c_nationkey") + 12) % 12
-        rows = self._joined.where((F.col("c_nationkey") < 12) & (F.col("s_nationkey") < 12) & gap.isin(1, 5))
-        return rows.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst")).distinct()
+        """Regions (r), nations (n), market segments (g), customers (c) and suppliers (s) of all rows: a
+        nation leads back to its region, all other edges lead down. A customer adds a few edges and paths,
+        so that both grow with the tables."""
+        n, c, s = (self.table(t) for t in ("nation", "customer", "supplier"))
+        name = lambda kind, key: F.concat(F.lit(kind), key)
+        ends = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+        region, nation = name("r", "n_regionkey"), name("n", "n_nationkey")
+        customer, segment = name("c", "c_custkey"), name("g", "c_mktsegment")
+        places = n.select(F.explode(F.array(ends(region, nation), ends(nation, region))).alias("e"))
+        suppliers = s.select(ends(name("n", "s_nationkey"), name("s", "s_suppkey")).alias("e"))
+        above = F.array(ends(name("n", "c_nationkey"), customer), ends(segment, customer), ends(region, segment), ends(region, customer))
+        customers = c.join(n, c.c_nationkey == n.n_nationkey).select(F.explode(above).alias("e"))
+        return places.union(suppliers).union(customers).select("e.*").distinct()
 
     @cached_property
     def dag(self) -> DataFrame:
-        return self.edges.where("cast(substr(src, 2) as int) < cast(substr(dst, 2) as int)")
+        return self.edges.where("NOT (src LIKE 'n%' AND dst LIKE 'r%')")
 
     @cached_property
     def concept_map(self) -> DataFrame:
@@ -99,7 +111,7 @@ class Views:
 
     @cached_property
     def theta(self) -> DataFrame:
-        return self.dag.selectExpr("src", "dst", "cast((cast(substr(src, 2) as int) * 7 + cast(substr(dst, 2) as int) * 3) % 19 - 9 as double) / 10 theta")
+        return self.dag.selectExpr("src", "dst", "cast((ascii(substr(src, 2)) * 7 + ascii(right(dst, 1)) * 3) % 19 - 9 as double) / 10 theta")
 
     @cached_property
     def draws(self) -> DataFrame:
