@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators import graph as I
 from causeway.plans.registry import query
+from causeway.sources.writers import write_table
 
 _WALK = """RECURSIVE walk AS (SELECT src, dst, [src, dst] AS path FROM {e} UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN {e} e ON w.dst = e.src WHERE NOT list_contains(w.path, e.dst) AND len(w.path) <= {more})"""
 #: More than the 3 edges of the graph's longest simple paths (nation, region, nation, customer), so that none is cut.
@@ -102,10 +103,11 @@ def _(v):
 
 @query("i10_influence_blanket")
 def _(v):
-    names = v.dag.select(F.col("src").alias("name")).union(v.dag.select("dst")).distinct()
+    dag = write_table(v.dag, "dag")  # read many times below
+    names = write_table(dag.select(F.col("src").alias("name")).union(dag.select("dst")).distinct(), "names")
     kind = F.substring("name", 1, 1)
     nodes = names.select("name", F.when(kind.isin("n", "g"), "function").otherwise("variable").alias("type"), F.when(kind == "g", "L").otherwise("F").alias("label"))
-    return I.influence_blanket(v.dag, nodes, names.where("name = 'r0'"), "c1", CUTOFF)
+    return I.influence_blanket(dag, nodes, names.where("name = 'r0'"), "c1", CUTOFF)
 
 
 @query("i11_pair_common_ancestor", _recursive("edges dag", "dag", """, up AS (SELECT DISTINCT src AS anc, dst AS name FROM walk UNION SELECT src, src FROM dag UNION SELECT dst, dst FROM dag), pr AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT pr.a, pr.b, x.anc FROM pr JOIN up x ON x.name = pr.a JOIN up y ON y.name = pr.b AND y.anc = x.anc)
