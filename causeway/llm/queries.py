@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, near_dedup, neighbours, packing, quality, suffix_dedup, url_filter
+from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, manifest, near_dedup, neighbours, packing, quality, suffix_dedup, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -109,11 +109,61 @@ FROM j LEFT JOIN l ON j.canon = l.canon
 """
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proves every document's place in the manifest; a third of the texts is tampered with."""
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], lowered))
+    out = manifest.manifest(documents, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"tampered": tampered})
+    folded = manifest.fold(F.col("path"), F.coalesce("tampered", "digest"))
+    out = out.select("doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root", manifest.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_OP11_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, text, coalesce('=' || lang, '') AS grp,
+         concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                   coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [256 + ascii(c), 1, 1, 1, 1, 1, 1, 1, 1]))::BIGINT[]),
+           lambda a, b: CASE WHEN b > 1 THEN xor(a, b - 256) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+  FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM h),
+t(level, grp, idx, n, digest) AS (
+  SELECT 0, grp, idx, n, leaf FROM b
+  UNION ALL SELECT level + 1, grp, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY level, grp, idx // 8, n),
+r AS (SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, idx, n, digest) AS (
+  SELECT 0, idx, n, digest FROM r
+  UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 8, n),
+a AS (SELECT level, grp, idx, n, digest FROM t WHERE n > 1 UNION ALL SELECT level, NULL, idx, n, digest FROM u WHERE n > 1),
+s AS (
+  SELECT level, grp, idx,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM a),
+w(level, grp, place, idx, n, proof, folded) AS (
+  SELECT 0, grp, idx, idx, n, '', coalesce(tampered, leaf) FROM b
+  UNION ALL SELECT w.level + 1, w.grp, w.place, w.idx // 8, (w.n + 7) // 8, w.proof || s.before || s.behind, sha256(s.before || w.folded || s.behind)
+  FROM w JOIN s ON s.grp = w.grp AND s.level = w.level AND s.idx = w.idx WHERE w.n > 1),
+x(level, grp, place, subroot, idx, n, proof, folded) AS (
+  SELECT 0, w.grp, w.place, r.digest, r.idx, r.n, w.proof, w.folded FROM w JOIN r ON w.grp = r.grp WHERE w.n = 1
+  UNION ALL SELECT x.level + 1, x.grp, x.place, x.subroot, x.idx // 8, (x.n + 7) // 8, x.proof || s.before || s.behind, sha256(s.before || x.folded || s.behind)
+  FROM x JOIN s ON s.grp IS NULL AND s.level = x.level AND s.idx = x.idx WHERE x.n > 1)
+SELECT b.doc_id, b.leaf, x.subroot, u.digest AS root, sha256(x.proof) AS proof_sha256, x.folded AS folded_root, x.folded = u.digest AS verified
+FROM b JOIN x ON b.grp = x.grp AND b.idx = x.place JOIN u ON u.n = 1 WHERE x.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter}
+    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter, "op11_manifest": op11_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op8_exact_dedup": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+    return {"op8_exact_dedup": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_manifest": _OP11_SQL}
