@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, manifest, near_dedup, neighbours, packing, quality, suffix_dedup, url_filter
+from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, manifest, near_dedup, neighbours, packing, quality, ranked_search, suffix_dedup, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -159,11 +159,33 @@ FROM b JOIN x ON b.grp = x.grp AND b.idx = x.place JOIN u ON u.n = 1 WHERE x.n =
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
+
+
+_OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+n AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+m AS (SELECT doc_id, terms, 100 - 50 + (50 * len(terms)::BIGINT * docs) // total AS m FROM d, n WHERE len(terms) > 0),
+t AS (SELECT doc_id, m, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM m) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, n GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN t ON i.term = t.term JOIN w ON i.term = w.term GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter, "op11_manifest": op11_manifest}
+    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter, "op11_manifest": op11_manifest, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op8_exact_dedup": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_manifest": _OP11_SQL}
+    return {"op8_exact_dedup": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_manifest": _OP11_SQL, "op13_ranked_search": _OP13_SQL}
