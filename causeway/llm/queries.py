@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, chunk_dedup, exact_dedup, line_dedup, manifest, near_dedup, neighbours, packing, quality, ranked_search, suffix_dedup, url_filter
+from causeway.llm import bpe, chunk_dedup, exact_dedup, graph_dedup, line_dedup, manifest, near_dedup, neighbours, packing, quality, ranked_search, suffix_dedup, url_filter
 from causeway.llm._io import table
 
 #: Rules of the URL filter: verdict, host, path.
@@ -159,6 +159,11 @@ FROM b JOIN x ON b.grp = x.grp AND b.idx = x.place JOIN u ON u.n = 1 WHERE x.n =
 """
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings of one label with a cosine of 0.93 or more."""
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best documents for every benchmark item."""
     return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
@@ -183,7 +188,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes (spark, sf_dir) and returns its whole result."""
-    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter, "op11_manifest": op11_manifest, "op13_ranked_search": op13_ranked_search}
+    return {"op1_near_dedup": op1_near_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_neighbours": op6_neighbours, "op7_chunk_dedup": op7_chunk_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_url_filter": op10_url_filter, "op11_manifest": op11_manifest, "op12_embedding_dedup": op12_embedding_dedup, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
