@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators import scan
+
 SERIES = ("concept", "indicator")
 
 
@@ -26,10 +28,9 @@ def mean_by_market(df: DataFrame, key: Sequence[str], value: str = "value") -> D
 
 def block_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int, value: str = "value") -> DataFrame:
     """Sums of k consecutive rows of each key; the incomplete rest goes."""
-    w = Window.partitionBy(*key)
-    n = df.withColumns({"__rn": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
-    full = n.where(F.col("__rn") <= k * F.floor(F.col("__n") / k))
-    return full.groupBy(*key, F.floor((F.col("__rn") - 1) / k).alias("block")).agg(F.sum(value).alias(value))
+    n = scan.numbered(df, key, order, "__at", "__n")
+    full = n.where(F.col("__at") < k * F.floor(F.col("__n") / k))
+    return full.groupBy(*key, F.floor(F.col("__at") / k).alias("block")).agg(F.sum(value).alias(value))
 
 
 def obs_per_step(obs: DataFrame, key: Sequence[str] = SERIES) -> DataFrame:
@@ -59,8 +60,7 @@ def scaled_bounds(scales: DataFrame, low: Column, high: Column) -> DataFrame:
 
 def modal_gap(obs: DataFrame, key: Sequence[str], time: str) -> DataFrame:
     """Shortest, longest and most frequent gap (of two, the smaller) of distinct time points, and its count."""
-    gaps = obs.select(*key, time).distinct().withColumn("gap", F.col(time) - F.lag(time).over(Window.partitionBy(*key).orderBy(time))).where("gap IS NOT NULL")
-    counts = gaps.groupBy(*key, "gap").agg(F.count("*").alias("n"))
+    counts = scan.gaps(obs, key, time).groupBy(*key, "gap").agg(F.count("*").alias("n"))
     return counts.groupBy(*key).agg(F.min("gap").alias("shortest"), F.max("gap").alias("longest"), F.max_by("gap", F.struct("n", -F.col("gap"))).alias("gap"), F.max("n").alias("n"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import month_index, normal, uniform
+from causeway.operators import scan
+from causeway.sources.writers import write_table
 
 
 def initial_state(nodes: DataFrame, seed: int | None = None) -> DataFrame:
@@ -95,25 +97,30 @@ def value_clamp(increments: DataFrame, clamps: DataFrame, key: Sequence[str], pe
     return part.select(*key, "step", (F.coalesce("__held", "x0") + F.sum(move).over(inner)).alias("value"))
 
 
-def derivative_clamp(cells: DataFrame, state: DataFrame, disp: DataFrame, clamps: list[tuple[str, int, float]], steps: int, perpetual: bool = False) -> DataFrame:
-    """linear_forecast() with derivatives set so that a node reaches a value at a step: (name, step, value).
+def derivative_clamp(cells: DataFrame, state: DataFrame, disp: DataFrame, clamps: DataFrame, steps: int, perpetual: bool = False) -> DataFrame:
+    """linear_forecast() with derivatives set so that nodes reach values at steps: clamps (name, step, value).
 
-    In time order, each distinct constrained step is one pass: the derivative of the step before
-    becomes value minus the value reached; later it is the initial one again, or 0 if perpetual.
-    Children feel the moves. A node with moving parents gets their moves besides.
+    In time order, each distinct constrained step (of 1 to steps) is one pass for all its nodes:
+    the derivative of the step before becomes value minus the value reached; later it is the
+    initial one again, or 0 if perpetual. Children feel the moves. A node with moving parents gets
+    their moves besides. Of several values for one node and step the largest counts; nodes that
+    aren't in disp are left out.
     """
     draws = cells.select("draw").distinct()
-    moves = draws.crossJoin(disp.select("name", "step", "disp"))
-    for t in sorted({s for _, s, _ in clamps if 1 <= s <= steps}):
-        now = _forecast_by_draw(cells, state, moves)
-        for name, _, value in [c for c in clamps if c[1] == t]:
-            at = now.where((F.col("name") == name) & (F.col("step") == t - 1)).select("draw", F.col("value").alias("__x"))
-            base = moves.where((F.col("name") == name) & (F.col("step") == t - 1)).select("draw", F.col("disp").alias("__base"))
-            told = at.join(base, "draw").select("draw", "__base", (F.lit(value) - F.col("__x")).alias("__jump"))
-            own = moves.where((F.col("name") == name) & (F.col("step") >= t)).join(told, "draw").join(state.select("name", "d0"), "name")
-            after = F.col("__base") + F.col("__jump") + (F.lit(0.0) if perpetual else (F.col("step") - t) * F.col("d0"))
-            moves = moves.where((F.col("name") != name) | (F.col("step") < t)).union(own.select("draw", "name", "step", after.alias("disp")))
-    return _forecast_by_draw(cells, state, moves)
+    start = disp.select("name", "step", "disp").join(state.select("name", "d0"), "name")
+    moves = write_table(draws.crossJoin(start), "moves")  # every draw moves every node: the size of the result
+    asked = write_table(clamps.where(F.col("step").between(1, steps)).groupBy("name", "step").agg(F.max("value").alias("__set")), "clamps")
+    for (t,) in sorted(asked.select("step").distinct().collect()):  # steps at most
+        now = asked.where(F.col("step") == t).select("name", "__set")
+        last = moves.where(F.col("step") == t - 1).select("draw", "name", F.col("disp").alias("__base"))
+        parents = cells.join(now.select(F.col("name").alias("dst")), "dst", "left_semi").join(last.withColumnRenamed("name", "src"), ["draw", "src"])
+        pushed = parents.groupBy("draw", F.col("dst").alias("name")).agg(F.sum(F.col("value") * F.col("__base")).alias("__pushed"))
+        reached = F.col("x0") + F.col("__base") + F.coalesce("__pushed", F.lit(0.0))
+        told = last.join(now, "name").join(state.select("name", "x0"), "name").join(pushed, ["draw", "name"], "left").select("draw", "name", (F.col("__base") + F.col("__set") - reached).alias("__to"))
+        after = F.col("__to") + (F.lit(0.0) if perpetual else (F.col("step") - t) * F.col("d0"))
+        changed = moves.join(told, ["draw", "name"], "left").select("draw", "name", "step", F.when(F.col("__to").isNotNull() & (F.col("step") >= t), after).otherwise(F.col("disp")).alias("disp"), "d0")
+        moves = write_table(changed, "moves")
+    return _forecast_by_draw(cells, state, moves.drop("d0"))
 
 
 def _forecast_by_draw(cells: DataFrame, state: DataFrame, moves: DataFrame) -> DataFrame:
@@ -129,8 +136,8 @@ def head_constraint(sequence: DataFrame, constraints: DataFrame) -> DataFrame:
 
 def forecast_format(forecast: DataFrame, axis: DataFrame, key: Sequence[str]) -> DataFrame:
     """Each step's samples by rank with its month's label; the extra first step goes."""
-    rank = F.row_number().over(Window.partitionBy(*key, "step").orderBy("value"))
-    return forecast.where("step > 0").withColumn("rank", rank).join(axis.select("step", "label"), "step").select(*key, "step", "label", "rank", "value")
+    ranked = scan.numbered(forecast.where("step > 0"), [*key, "step"], ["value"], index="__rank")
+    return ranked.join(axis.select("step", "label"), "step").select(*key, "step", "label", (F.col("__rank") + 1).cast("int").alias("rank"), "value")
 
 
 def forecast_window(requests: DataFrame) -> DataFrame:
@@ -177,14 +184,16 @@ def posterior_weights(ll: DataFrame, key: Sequence[str] = ()) -> DataFrame:
 
 def credible_interval(samples: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:
     """median, lower and upper of each key by rank: floor((n -+ 1.96 sqrt n) / 2), the upper one higher,
-    from 0 in the sorted samples and within them; the median averages the middle two."""
-    w = Window.partitionBy(*key)
-    ranked = samples.select(*key, F.col(value).alias("__v"), (F.row_number().over(w.orderBy(value)) - 1).alias("__r"), F.count("*").over(w).alias("__n"))
-    n = F.col("__n")
+    from 0 in the sorted samples and within them; the median averages the middle two. Nulls sort first."""
+    tally = scan.Tally.of(samples, key, value)
+    n = F.col("n")
     lower = F.greatest(F.lit(0), F.floor((n - 1.96 * F.sqrt(n)) / 2))
     upper = F.least(n - 1, F.floor((2 + n + 1.96 * F.sqrt(n)) / 2))
-    middle = (F.col("__r") == F.floor(n / 2)) | ((n % 2 == 0) & (F.col("__r") == F.floor(n / 2) - 1))
-    return ranked.groupBy(*key).agg(F.avg(F.when(middle, F.col("__v"))).alias("median"), F.max(F.when(F.col("__r") == lower, F.col("__v"))).alias("lower"), F.max(F.when(F.col("__r") == upper, F.col("__v"))).alias("upper"))
+    ranks = {"median": F.floor(n / 2), "other": F.floor(n / 2) - F.when(n % 2 == 0, 1).otherwise(0), "lower": lower, "upper": upper}
+    wanted = tally.sizes().select(*key, F.explode(F.array(*[F.struct(F.lit(name).alias("what"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])).alias("__w")).select(*key, "__w.what", "__w.rank")
+    one = lambda name: F.max(F.when(F.col("what") == name, F.col("value")))
+    middle = F.avg(F.when(F.col("what").isin("median", "other"), F.col("value")))
+    return tally.at(wanted).groupBy(*key).agg(middle.alias("median"), one("lower").alias("lower"), one("upper").alias("upper"))
 
 
 def forecast_rmse(errors: DataFrame, key: Sequence[str], error: str = "error") -> DataFrame:

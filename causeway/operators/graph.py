@@ -6,6 +6,8 @@ and a lost executor costs a round's files at most. Rounds are bounded by the cal
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from causeway.sources.writers import write_table
 
 #: Paths beyond which simple_paths() refuses to go on.
 MOST_PATHS = 100_000_000
+#: Written rounds that a plan holds side by side.
+MOST_ROUNDS = 24
 
 
 def successors(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -26,17 +30,26 @@ def predecessors(edges: DataFrame, names: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, start: DataFrame, depth: int = -1, inward: bool = False) -> DataFrame:
     """name and hops of the nodes within `depth` hops along (or against) edges; -1: without limit."""
     ways = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if inward else edges.select("src", "dst")
-    seen = write_table(start.select("name", F.lit(0).alias("hops")).distinct(), "seen")
-    hop = 0
+    front = write_table(start.select("name", F.lit(0).alias("hops")).distinct(), "front")
+    found, hop = [front], 0
     while depth < 0 or hop < depth:
-        frontier = seen.where(F.col("hops") == hop).select(F.col("name").alias("src"))
-        new = frontier.join(ways, "src").select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti")
         hop += 1
-        new = write_table(new.withColumn("hops", F.lit(hop)), "frontier")
-        if new.isEmpty():
+        new = front.select(F.col("name").alias("src")).join(ways, "src").select(F.col("dst").alias("name")).distinct().join(_together(found).select("name"), "name", "left_anti")
+        front = write_table(new.withColumn("hops", F.lit(hop)), "front")
+        if front.isEmpty():
             break
-        seen = write_table(seen.union(new), "seen")
-    return seen
+        found = _appended(found, front)
+    return _together(found)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _appended(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """Rounds are kept as they were written; many are put into one, so that the plan stays small."""
+    parts = [*parts, new]
+    return parts if len(parts) < MOST_ROUNDS else [write_table(_together(parts), "rounds")]
 
 
 def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -47,15 +60,24 @@ def induced(edges: DataFrame, names: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, cutoff: int, src: DataFrame | None = None, dst: DataFrame | None = None, most: int = MOST_PATHS) -> DataFrame:
     """src, dst and path (array of names) of all directed simple paths of up to `cutoff` edges.
 
-    src and dst (name) restrict the ends. More than `most` paths fail: their number can be
-    exponential in the cutoff, which is therefore required.
+    src and dst (name) restrict the ends. With both, paths grow from both ends to the middle, over
+    edges that lie on a way of at most `cutoff` edges between them. More than `most` (half) paths
+    fail: their number can be exponential in the cutoff, which is therefore required.
     """
     if cutoff < 1:
         raise ValueError("cutoff must be at least 1")
     ways = edges.select("src", "dst").where("src <> dst").distinct()
-    first = ways if src is None else ways.join(src.select(F.col("name").alias("src")), "src", "left_semi")
+    if src is not None and dst is not None:
+        return _two_sided(ways, cutoff, src, dst, most)
+    first = ways if src is None else ways.join(src.select(F.col("name").alias("src")).distinct(), "src", "left_semi")
+    out = _together(_grown(ways, first, cutoff, most))
+    return out if dst is None else out.join(dst.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst", "path")
+
+
+def _grown(ways: DataFrame, first: DataFrame, cutoff: int, most: int) -> list[DataFrame]:
+    """Simple paths that begin with the edges of first, a table for each length up to cutoff."""
     level = write_table(first.select("src", "dst", F.array("src", "dst").alias("path")), "paths")
-    out, total = level, level.count()
+    levels, total = [level], level.count()
     for _ in range(1, cutoff):
         if total > most:
             raise ValueError(f"more than {most} paths")
@@ -65,8 +87,27 @@ def simple_paths(edges: DataFrame, cutoff: int, src: DataFrame | None = None, ds
         if not n:
             break
         total += n
-        out = out.union(level)
-    return out if dst is None else out.join(dst.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst", "path")
+        levels.append(level)
+    return levels
+
+
+def _two_sided(ways: DataFrame, cutoff: int, src: DataFrame, dst: DataFrame, most: int) -> DataFrame:
+    """Paths from src to dst: halves from either end that meet in one node and share no other."""
+    down, up = k_hop(ways, src, cutoff), k_hop(ways, dst, cutoff, inward=True)
+    near = ways.join(down.select(F.col("name").alias("src"), F.col("hops").alias("__from")), "src").join(up.select(F.col("name").alias("dst"), F.col("hops").alias("__to")), "dst")
+    near = write_table(near.where(F.col("__from") + 1 + F.col("__to") <= cutoff).select("src", "dst"), "near")
+    half = (cutoff + 1) // 2
+    starts = src.select(F.col("name").alias("src")).distinct()
+    ends = dst.select(F.col("name").alias("dst")).distinct()
+    forward = _grown(near, near.join(starts, "src", "left_semi"), half, most)
+    out = [level.join(ends, "dst", "left_semi").select("src", "dst", "path") for level in forward]
+    if len(forward) == half and cutoff > half:
+        back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        backward = _grown(back, back.join(ends.select(F.col("dst").alias("src")), "src", "left_semi"), cutoff - half, most)
+        behind = _together(backward).select(F.col("dst").alias("__meet"), F.col("src").alias("__end"), F.reverse("path").alias("__rest"))
+        both = forward[-1].withColumnRenamed("dst", "__meet").join(behind, "__meet").withColumn("__rest", F.slice("__rest", 2, cutoff))
+        out.append(both.where(~F.arrays_overlap("path", "__rest")).select("src", F.col("__end").alias("dst"), F.concat("path", "__rest").alias("path")))
+    return _together(out)
 
 
 def between(edges: DataFrame, src: DataFrame, dst: DataFrame, cutoff: int) -> DataFrame:
@@ -104,7 +145,7 @@ def prune(edges: DataFrame, paths: DataFrame, cutoff: int = 2) -> DataFrame:
     return edges.join(several, ["src", "dst"], "left_anti").select(*edges.columns)
 
 
-def cell_values(paths: DataFrame, theta: DataFrame, key: tuple[str, ...] = ("draw",)) -> DataFrame:
+def cell_values_on_paths(paths: DataFrame, theta: DataFrame, key: tuple[str, ...] = ("draw",)) -> DataFrame:
     """For each draw and pair, the sum over paths of the product of tan(theta) along the path.
 
     A path's factors are as many as it has edges; their product keeps its sign.
@@ -115,17 +156,57 @@ def cell_values(paths: DataFrame, theta: DataFrame, key: tuple[str, ...] = ("dra
     return each.groupBy(*key, "src", "dst").agg(F.sum("p").alias("value"))
 
 
+def _lengths(factors: DataFrame, key: tuple[str, ...], total) -> list[DataFrame]:
+    """key, src, dst and value summed over the paths of 1, 2, ... edges of an acyclic graph, a table for each length.
+
+    factors: key, src, dst, f. Only the last length's rows meet the edges again, and paths that
+    share their ends are one row. A cycle shows as a path from a node to itself, and fails.
+    """
+    front = write_table(factors.select(*key, "src", "dst", F.col("f").alias("value")), "cells")
+    step = factors.select(*key, F.col("src").alias("__at"), F.col("dst").alias("__next"), "f")
+    out = []
+    while not front.isEmpty():
+        if not front.where("src = dst").isEmpty():
+            raise ValueError("the graph has a cycle; sum over its simple paths instead")
+        out = _appended(out, front)
+        longer = front.withColumnRenamed("dst", "__at").join(step, [*key, "__at"])
+        front = write_table(longer.groupBy(*key, "src", F.col("__next").alias("dst")).agg(total(F.col("value") * F.col("f")).alias("value")), "cells")
+    return out
+
+
+def cell_values(theta: DataFrame, key: tuple[str, ...] = ("draw",)) -> DataFrame:
+    """For each draw and pair of an acyclic graph, the sum over paths of the product of tan(theta) along the path.
+
+    theta: key, src, dst, theta, one row for each key and edge. Sums of paths of one length give
+    those of the next by one join, so that no path is ever a row.
+    """
+    factors = write_table(theta.select(*key, "src", "dst", F.tan("theta").alias("f")), "factors")
+    lengths = _lengths(factors, key, F.sum)
+    cells = _together(lengths) if lengths else factors.withColumnRenamed("f", "value")
+    return cells.groupBy(*key, "src", "dst").agg(F.sum("value").alias("value"))
+
+
+def prune_acyclic(edges: DataFrame, cutoff: int = 2) -> DataFrame:
+    """prune() of an acyclic graph by counts of paths of each length (2 stands for more), without paths."""
+    factors = write_table(edges.select("src", "dst", F.lit(1).cast("long").alias("f")).distinct(), "factors")
+    long = _lengths(factors, (), lambda n: F.least(F.sum(n), F.lit(2)))[cutoff - 1 :]
+    if not long:
+        return edges
+    several = _together(long).groupBy("src", "dst").agg(F.sum("value").alias("n")).where("n > 1")
+    return edges.join(several, ["src", "dst"], "left_anti").select(*edges.columns)
+
+
 def levels(edges: DataFrame, most: int = 100) -> DataFrame:
     """name and level: the longest way from a node without predecessors; a cycle fails after `most` rounds."""
     nodes = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     heads = nodes.join(edges.select(F.col("dst").alias("name")), "name", "left_anti")
-    found = write_table(heads.withColumn("level", F.lit(0)), "levels")
-    front = found
+    front = write_table(heads.withColumn("level", F.lit(0)), "levels")
+    found = [front]
     for k in range(1, most + 1):
         front = write_table(front.select(F.col("name").alias("src")).join(edges, "src").select(F.col("dst").alias("name")).distinct().withColumn("level", F.lit(k)), "front")
         if front.isEmpty():
-            return found.groupBy("name").agg(F.max("level").alias("level"))
-        found = write_table(found.union(front).groupBy("name").agg(F.max("level").alias("level")), "levels")
+            return _together(found).groupBy("name").agg(F.max("level").alias("level"))
+        found = _appended(found, front)
     raise ValueError(f"no end after {most} levels: the graph has a cycle")
 
 
@@ -153,17 +234,34 @@ def influence_blanket(edges: DataFrame, nodes: DataFrame, shared: DataFrame, out
     return all_main.withColumn("role", F.lit("main")).union(blanket.join(all_main, "name", "left_anti").withColumn("role", F.lit("blanket")))
 
 
-def pair_common_ancestor(edges: DataFrame, pairs: DataFrame, cutoff: int) -> DataFrame:
+def ancestors(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """name and anc: each of the names with itself and all nodes that lead to it, at any distance.
+
+    Semi-naive: only the pairs of the last round meet the edges, until none is new; cycles end too.
+    """
+    ways = edges.select(F.col("src").alias("__up"), F.col("dst").alias("anc")).where("__up <> anc").distinct()
+    front = write_table(names.select("name", F.col("name").alias("anc")).distinct(), "front")
+    found = [front]
+    while True:
+        new = front.join(ways, "anc").select("name", F.col("__up").alias("anc")).distinct()
+        front = write_table(new.join(_together(found), ["name", "anc"], "left_anti"), "front")
+        if front.isEmpty():
+            return _together(found)
+        found = _appended(found, front)
+
+
+def pair_common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b and a lowest common ancestor in an acyclic graph: one with no descendant that is common too;
-    of several the first by name. Nodes are their own ancestors. cutoff bounds the distance."""
-    up = simple_paths(edges, cutoff).select(F.col("src").alias("anc"), F.col("dst").alias("name")).distinct()
-    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    up = write_table(up.union(names.select(F.col("name").alias("anc"), "name")).distinct(), "ancestors")
-    common = write_table(pairs.join(up.withColumnRenamed("name", "a"), "a").join(up.withColumnRenamed("name", "b"), ["b", "anc"]).select("a", "b", "anc"), "common")
-    # Descendants that are common ancestors of any pair: hardly any of a hub's.
-    lower = up.where("anc <> name").withColumnRenamed("name", "low").join(common.select(F.col("anc").alias("low")).distinct(), "low", "left_semi")
-    above = common.join(common.withColumnRenamed("anc", "low"), ["a", "b"]).join(lower, ["anc", "low"], "left_semi").select("a", "b", "anc")
-    return common.join(above, ["a", "b", "anc"], "left_anti").groupBy("a", "b").agg(F.min("anc").alias("ancestor"))
+    of several the first by name. Nodes are their own ancestors. Pairs without one give no row.
+
+    All nodes on a way between two common ancestors are common as well, so that one edge from a
+    common ancestor to another tells that it isn't lowest.
+    """
+    asked = pairs.select("a", "b").distinct()
+    up = write_table(ancestors(edges, asked.select(F.explode(F.array("a", "b")).alias("name"))), "ancestors")
+    common = write_table(asked.join(up.withColumnRenamed("name", "a"), "a").join(up.withColumnRenamed("name", "b"), ["b", "anc"]).select("a", "b", "anc"), "common")
+    higher = common.withColumnRenamed("anc", "dst").join(edges.select("src", "dst").where("src <> dst"), "dst").select("a", "b", F.col("src").alias("anc"))
+    return common.join(higher, ["a", "b", "anc"], "left_anti").groupBy("a", "b").agg(F.min("anc").alias("ancestor"))
 
 
 def text_distance(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import month_index, steps_between
+from causeway.operators import scan
 
 
 def epoch_to_ymd(ms: Column) -> dict[str, Column]:
@@ -27,8 +28,7 @@ def align_to_steps(obs: DataFrame, ms: str = "ts_ms", level: str = "MONTHLY") ->
 
 def step_gaps(df: DataFrame, key: Sequence[str], step: str = "step") -> DataFrame:
     """Difference of successive distinct steps of each series."""
-    w = Window.partitionBy(*key).orderBy(step)
-    return df.select(*key, step).distinct().withColumn("gap", F.col(step) - F.lag(step).over(w)).where("gap IS NOT NULL")
+    return scan.gaps(df, key, step)
 
 
 def month_axis(spark, start: str, end: str) -> DataFrame:
@@ -192,8 +192,7 @@ def split_by_periods(df: DataFrame, key: Sequence[str], order: str, train: int =
 
 def plateau(df: DataFrame, key: Sequence[str], order: str, n: int, delta: float, value: str = "value") -> DataFrame:
     """The first row of each series before which n values lie within delta of each other."""
-    w = Window.partitionBy(*key).orderBy(order)
+    rows, w = scan.neighbourly(df, key, [order], before=n)
     back = w.rowsBetween(-n, -1)
-    flat = (F.row_number().over(w) > n) & (F.max(value).over(back) - F.min(value).over(back) <= delta)
-    marked = df.withColumn("__flat", flat)
-    return marked.where("__flat").groupBy(*key).agg(F.min(order).alias(order))
+    marked = rows.withColumn("__flat", (F.col("index") >= n) & (F.max(value).over(back) - F.min(value).over(back) <= delta))
+    return marked.where("__own AND __flat").groupBy(*key).agg(F.min(order).alias(order))

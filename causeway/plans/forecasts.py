@@ -8,12 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway import functions as C
-from causeway.operators import graph, sensitivity
+from causeway.operators import graph, scan, sensitivity
 from causeway.operators import forecast as K
 from causeway.operators import timeseries as T
-from causeway.plans.graphs import CUTOFF, cells_sql
+from causeway.plans.graphs import cells_sql
 from causeway.plans.registry import query
 from causeway.plans.series import rounded
+from causeway.sources.writers import write_table
 
 _NODES = "nd AS (SELECT src AS name FROM dag UNION SELECT dst FROM dag), st AS (SELECT name, 1.0::DOUBLE AS x0, CAST(ascii(right(name, 1)) % 11 AS DOUBLE) / 20 AS d0 FROM nd)"
 _LINEAR = _NODES + """, cell AS (SELECT draw, src, dst, sum(p) AS value FROM f GROUP BY ALL), ax AS (SELECT CAST(s AS INT) AS step FROM range(0, 7) t(s)),
@@ -21,7 +22,7 @@ _LINEAR = _NODES + """, cell AS (SELECT draw, src, dst, sum(p) AS value FROM f G
 
 
 def _cells(v):
-    return graph.cell_values(graph.simple_paths(v.dag, CUTOFF), v.draws)
+    return write_table(graph.cell_values(v.draws), "cells")
 
 
 def _state(v):
@@ -119,9 +120,34 @@ def _(v):
 @query("k7_derivative_clamp", cells_sql(f""", {_LINEAR}, moved AS (SELECT d.draw, st.name, ax.step, CASE WHEN st.name = (SELECT min(name) FROM hd) AND ax.step >= 3 THEN 2 * st.d0 + (5 - (1 + 2 * st.d0)) + (ax.step - 3) * st.d0 ELSE ax.step * st.d0 END AS disp FROM (SELECT DISTINCT draw FROM cell) d, st, ax)
     SELECT m.draw, m.name, m.step, round(1 + m.disp + coalesce((SELECT sum(c.value * o.disp) FROM cell c JOIN moved o ON c.src = o.name AND o.draw = m.draw AND o.step = m.step WHERE c.draw = m.draw AND c.dst = m.name), 0), 6) AS value FROM moved m""").replace(" , nd AS", ", hd AS (SELECT src AS name FROM dag EXCEPT SELECT dst FROM dag), nd AS"))
 def _(v):
-    head = v.dag.select(F.col("src").alias("name")).join(v.dag.select(F.col("dst").alias("name")), "name", "left_anti").agg(F.min("name")).first()[0]
+    heads = v.dag.select(F.col("src").alias("name")).join(v.dag.select(F.col("dst").alias("name")), "name", "left_anti")
+    clamps = heads.agg(F.min("name").alias("name")).select("name", F.lit(3).alias("step"), F.lit(5.0).alias("value"))
     state = _state(v)
-    return rounded(K.derivative_clamp(_cells(v), state, K.displacements(state, 6), [(head, 3, 5.0)] if head else [], 6), "value")
+    return rounded(K.derivative_clamp(_cells(v), state, K.displacements(state, 6), clamps, 6), "value")
+
+
+_TWO = """cl AS (SELECT name, CASE WHEN name LIKE 'c%' THEN 2 ELSE 4 END AS step, CASE WHEN name LIKE 'c%' THEN 2.5 ELSE -1.5 END AS value FROM nd WHERE name LIKE 'n%' OR name LIKE 'c%1'),
+    m0 AS (SELECT d.draw, st.name, ax.step, ax.step * st.d0 AS disp, st.d0 FROM (SELECT DISTINCT draw FROM cell) d, st, ax),
+    {passes}
+    SELECT m.draw, m.name, m.step, round(1 + m.disp + coalesce(p.push, 0), 6) AS value FROM m2 m LEFT JOIN (SELECT c.draw, c.dst, o.step, sum(c.value * o.disp) AS push FROM cell c JOIN m2 o ON c.src = o.name AND o.draw = c.draw GROUP BY ALL) p ON p.draw = m.draw AND p.dst = m.name AND p.step = m.step"""
+_PASS = """x{k} AS (SELECT m.draw, m.name, m.disp + cl.value - (1 + m.disp + coalesce((SELECT sum(c.value * o.disp) FROM cell c JOIN m{j} o ON c.src = o.name AND o.draw = c.draw AND o.step = {t} - 1 WHERE c.draw = m.draw AND c.dst = m.name), 0)) AS reached FROM m{j} m JOIN cl ON cl.name = m.name AND cl.step = {t} WHERE m.step = {t} - 1),
+    m{k} AS (SELECT m.draw, m.name, m.step, CASE WHEN x.reached IS NOT NULL AND m.step >= {t} THEN x.reached + {after} ELSE m.disp END AS disp, m.d0 FROM m{j} m LEFT JOIN x{k} x ON x.draw = m.draw AND x.name = m.name)"""
+
+
+def _clamp_table_sql(perpetual):
+    after = "0" if perpetual else "(m.step - {t}) * m.d0"
+    passes = ", ".join(_PASS.format(k=k, j=k - 1, t=t, after=after.format(t=t)) for k, t in ((1, 2), (2, 4)))
+    return cells_sql(f", {_LINEAR}, {_TWO.format(passes=passes)}").replace(" , nd AS", ", nd AS")
+
+
+for _name, _perpetual in {"one_off": False, "perpetual": True}.items():
+
+    @query(f"k7_clamp_table_{_name}", _clamp_table_sql(_perpetual))
+    def _(v, perpetual=_perpetual):
+        state = _state(v)
+        low = F.col("name").startswith("c")
+        clamps = state.where("name LIKE 'n%' OR name LIKE 'c%1'").select("name", F.when(low, 2).otherwise(4).alias("step"), F.when(low, 2.5).otherwise(-1.5).alias("value"))
+        return rounded(K.derivative_clamp(_cells(v), state, K.displacements(state, 6), clamps, 6, perpetual), "value")
 
 
 @query("k8_head_constraint", "SELECT concept AS name, step, CASE WHEN step % 10 = 0 THEN 1 ELSE value END AS value FROM means", "steps means")
@@ -274,8 +300,16 @@ def _(v):
 
 @query("m3_pairwise_grouper_scan", "SELECT o_orderkey, lead(o_orderkey) OVER w AS nxt, (row_number() OVER w - 1) // 3 AS grp, round(sum(o_totalprice) OVER w, 2) AS scan FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
 def _(v):
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    return v.table("orders").select("o_orderkey", F.lead("o_orderkey").over(w).alias("nxt"), F.floor((F.row_number().over(w) - 1) / 3).alias("grp"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("scan"))
+    o, key, order = v.table("orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], ["o_orderkey"]
+    following = scan.pairwise(o, key, order, ["o_orderkey"], "nxt_").select("o_orderkey", F.col("nxt_o_orderkey").alias("nxt"))
+    groups = scan.grouper(o, key, order, 3, "grp").select("o_orderkey", "grp")
+    sums = scan.running(o, key, order, "o_totalprice").select("o_orderkey", F.round("scan", 2).alias("scan"))
+    return following.join(groups, "o_orderkey").join(sums, "o_orderkey")
+
+
+@query("m3_take", "SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 7")
+def _(v):
+    return scan.take(v.table("orders"), ["o_orderstatus"], [F.desc("o_totalprice"), F.col("o_orderkey")], 7).select("o_orderstatus", "o_orderkey")
 
 
 @query("m4_top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
