@@ -99,8 +99,9 @@ def wrap_theta(theta: Column) -> Column:
 
 
 def uniform(*key: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) from a hash of the key: the same wherever and whenever it is computed."""
-    return (F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    """A number in (0, 1) from the first 52 bits of an md5 of the key's texts: the same wherever and whenever it is computed."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key], F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def normal(*key: Column, seed: int = 0) -> Column:

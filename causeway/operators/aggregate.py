@@ -110,9 +110,15 @@ def head_body_split(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(into, "name", "left").select("name", F.col("__in").isNull().alias("is_head"))
 
 
-def edge_evidence(evidence: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row for each pair of different concepts: number of pieces and the pieces in order of stmt, evid."""
-    return evidence.where("subj <> obj").groupBy("subj", "obj").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("stmt", "evid", *fields))).alias("evidence"))
+#: Items in a part of a list.
+PART = 4096
+
+
+def edge_evidence(evidence: DataFrame, fields: Sequence[str], size: int = PART) -> DataFrame:
+    """subj, obj, n (pieces of the pair), part and evidence: the pieces of each pair of different concepts
+    in order of stmt, evid, up to `size` in a part, so that a hub's list is never one row."""
+    columns = ["stmt", "evid", *fields]
+    return scan.chunked(evidence.where("subj <> obj"), ["subj", "obj"], columns, columns, size, "evidence")
 
 
 def edge_reinforcement(evidence: DataFrame) -> DataFrame:
@@ -161,9 +167,10 @@ def adjective_pairs(df: DataFrame, subj: str, obj: str) -> DataFrame:
     return pairs.groupBy("subj_adj", "obj_adj").agg(F.count("*").alias("n"))
 
 
-def grounding_inventory(df: DataFrame, grounding: str, text: str) -> DataFrame:
-    """The distinct texts of each grounding's last path part."""
-    return df.groupBy(F.substring_index(grounding, "/", -1).alias("leaf")).agg(F.array_sort(F.collect_set(text)).alias("texts"))
+def grounding_inventory(df: DataFrame, grounding: str, text: str, size: int = PART) -> DataFrame:
+    """leaf (each grounding's last path part), n, part and texts: its distinct texts in order, up to `size` in a part."""
+    rows = df.select(F.substring_index(grounding, "/", -1).alias("leaf"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    return scan.chunked(rows, ["leaf"], ["text"], ["text"], size, "texts").withColumn("texts", F.transform("texts", lambda t: t["text"]))
 
 
 def inspection_table(evidence: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -162,16 +162,18 @@ def _lengths(factors: DataFrame, key: tuple[str, ...], total) -> list[DataFrame]
     factors: key, src, dst, f. Only the last length's rows meet the edges again, and paths that
     share their ends are one row. A cycle shows as a path from a node to itself, and fails.
     """
-    front = write_table(factors.select(*key, "src", "dst", F.col("f").alias("value")), "cells")
+    front = factors.select(*key, "src", "dst", F.col("f").alias("value"))
     step = factors.select(*key, F.col("src").alias("__at"), F.col("dst").alias("__next"), "f")
     out = []
-    while not front.isEmpty():
-        if not front.where("src = dst").isEmpty():
+    while True:
+        n, loops = front.agg(F.count("*"), F.count_if(F.col("src") == F.col("dst"))).first()
+        if loops:
             raise ValueError("the graph has a cycle; sum over its simple paths instead")
+        if not n:
+            return out
         out = _appended(out, front)
         longer = front.withColumnRenamed("dst", "__at").join(step, [*key, "__at"])
         front = write_table(longer.groupBy(*key, "src", F.col("__next").alias("dst")).agg(total(F.col("value") * F.col("f")).alias("value")), "cells")
-    return out
 
 
 def cell_values(theta: DataFrame, key: tuple[str, ...] = ("draw",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import normal, uniform, wrap_theta
+from causeway.operators import scan
 
 LOW, WIDTH = -math.pi / 2, math.pi
 #: Added to each bin's count, so that no bin is impossible.
@@ -23,20 +24,16 @@ def silverman(df: DataFrame, key: Sequence[str], value: str = "response") -> Dat
 def smooth_resample(responses: DataFrame, n: int, bw: float | None = 1.0, seed: int = 0, key: Sequence[str] = ("adjective",)) -> DataFrame:
     """key, k (from 1) and response: n draws of each key, a point picked evenly plus bw times a normal.
 
-    bw None takes Silverman's. A key's points are numbered, so that a pick is an equi-join and no
-    key's points are gathered in one row.
+    bw None takes Silverman's. A pick is a rank among the key's points in order, found by the counts
+    of range partitions: no key's points are sorted or gathered in one task.
     """
-    from pyspark.sql import Window
-
-    numbered = responses.where("response IS NOT NULL").withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy("response")))
-    counts = numbered.groupBy(*key).agg(F.count("*").alias("__n"))
-    draws = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draws = draws.withColumn("__i", (F.floor(uniform(*key, F.col("k"), seed=3 * seed) * F.col("__n")) + 1).cast("int"))
-    picked = draws.join(numbered, [*key, "__i"])
+    tally = scan.Tally.of(responses.where("response IS NOT NULL"), key, "response")
+    draws = tally.sizes().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    picked = tally.at(draws.withColumn("rank", F.floor(uniform(*key, F.col("k"), seed=3 * seed) * F.col("n"))))
     if bw is None:
-        picked = picked.join(silverman(responses, key), list(key))
+        picked = scan.met(picked, silverman(responses, key), key)
     width = F.col("bw") if bw is None else F.lit(bw)
-    return picked.select(*key, "k", (F.col("response") + width * normal(*key, F.col("k"), seed=3 * seed + 1)).alias("response"))
+    return picked.select(*key, "k", (F.col("value") + width * normal(*key, F.col("k"), seed=3 * seed + 1)).alias("response"))
 
 
 def theta_samples(pairs: DataFrame) -> DataFrame:

@@ -85,6 +85,13 @@ def grouper(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], si
     return numbered(df, key, order).select(*df.columns, F.floor(F.col("index") / size).alias(group))
 
 
+def chunked(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], fields: Sequence[str], size: int, into: str = "items") -> DataFrame:
+    """key, n (the key's rows), part (from 0) and a list of up to `size` rows in order: no list grows with its key."""
+    rows = numbered(df, key, order).withColumn("part", F.floor(F.col("index") / size))
+    listed = F.array_sort(F.collect_list(F.struct("index", *fields)))
+    return rows.groupBy(*key, "n", "part").agg(F.transform(listed, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(into))
+
+
 def take(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
     """The first k rows of each key; each task passes on k rows of a key at most."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")

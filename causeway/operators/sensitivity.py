@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +61,34 @@ def second_order(outputs: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.join(one, "i").join(two, "j").select("i", "j", (F.col("v") - F.col("__a") - F.col("__b")).alias("s2"))
 
 
+def poisson_steps() -> list[float]:
+    """The chances that a Poisson number of mean 1 is at most 0, 1, 2, ..., as far as doubles tell them from 1."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while total + term > total:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return [s for s in steps if s < 1]
+
+
 def index_confidence(outputs: DataFrame, names: Sequence[str], repeats: int = 100, seed: int = 0) -> DataFrame:
-    """variable, s1_conf and st_conf: 1.96 deviations of the indices over resamples of ids, by hashed Poisson weights."""
+    """variable, s1_conf and st_conf: 1.96 deviations of the indices over resamples of ids.
+
+    An id counts in each repeat as often as a Poisson number of mean 1, hashed from both, tells. Weights
+    enter the sums (of w, w y, w y y, ...) instead of copies of rows, and each task passes on one
+    row of sums for each repeat.
+    """
+    wide = outputs.groupBy("id").pivot("block", ["A", "B", *[f"A_{v}" for v in names]]).agg(F.first("y"))
     u = uniform(F.col("id"), F.col("rep"), seed=seed)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    rows = outputs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("__w", weight).where("__w > 0")
-    rows = rows.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__w")))).withColumn("id", F.struct("id", "__c"))
-    each = sobol_indices(rows.select("rep", "id", "block", "y"), names, ["rep"])
+    weight = reduce(lambda a, b: a + b, [F.when(u > c, 1).otherwise(0) for c in poisson_steps()])
+    rows = wide.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", weight).where("w > 0")
+    w, a, b = F.col("w"), F.col("A"), F.col("B")
+    first = [F.sum(w * b * (F.col(f"A_{v}") - a)).alias(f"__s_{v}") for v in names]
+    total = [F.sum(w * F.pow(a - F.col(f"A_{v}"), 2)).alias(f"__t_{v}") for v in names]
+    sums = rows.groupBy("rep").agg(F.sum("w").alias("__n"), F.sum(w * (a + b)).alias("__y"), F.sum(w * (a * a + b * b)).alias("__yy"), *first, *total)
+    variance = F.col("__yy") / (2 * F.col("__n")) - F.pow(F.col("__y") / (2 * F.col("__n")), 2)
+    indices = [F.struct(F.lit(v).alias("variable"), F.try_divide(F.col(f"__s_{v}") / F.col("__n"), F.col("__var")).alias("s1"), F.try_divide(F.col(f"__t_{v}") / F.col("__n") / 2, F.col("__var")).alias("st")) for v in names]
+    each = sums.withColumn("__var", variance).select(F.explode(F.array(*indices)).alias("r")).select("r.*")
     return each.groupBy("variable").agg((1.96 * F.stddev_samp("s1")).alias("s1_conf"), (1.96 * F.stddev_samp("st")).alias("st_conf"))
 
 
@@ -75,7 +98,7 @@ def s2_extremes(s2: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return grouped.agg(F.min("s2").alias("s2_min"), F.min_by(F.struct("i", "j"), F.struct("s2", "i", "j")).alias("__l"), F.max("s2").alias("s2_max"), F.max_by(F.struct("i", "j"), F.struct("s2", "i", "j")).alias("__h")).select(*key, "s2_min", F.col("__l.i").alias("min_i"), F.col("__l.j").alias("min_j"), "s2_max", F.col("__h.i").alias("max_i"), F.col("__h.j").alias("max_j"))
 
 
-def index_convergence(outputs: DataFrame, names: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """size, variable, s1 and st of the first `size` ids, for each size."""
-    rows = outputs.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.col("id") < F.col("size"))
+def index_convergence(outputs: DataFrame, names: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """size, variable, s1 and st of the ids below each size (a table of one column, size: a few rows)."""
+    rows = outputs.join(sizes, F.col("id") < F.col("size"))
     return sobol_indices(rows, names, ["size"])

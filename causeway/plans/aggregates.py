@@ -94,9 +94,11 @@ def _(v):
     return A.head_body_split(v.dag.select(F.col("src").alias("name")).union(v.dag.select("dst")).distinct(), v.dag)
 
 
-@query("e14_edge_evidence", "SELECT subj, obj, count(*) AS n, string_agg(stmt || ':' || evid, ',' ORDER BY stmt, evid) AS pieces FROM evidence WHERE subj <> obj GROUP BY ALL", "evidence")
+@query("e14_edge_evidence", """WITH r AS (SELECT subj, obj, stmt, evid, count(*) OVER (PARTITION BY subj, obj) AS n, (row_number() OVER (PARTITION BY subj, obj ORDER BY stmt, evid) - 1) // 50 AS part FROM evidence WHERE subj <> obj)
+    SELECT subj, obj, n, part, string_agg(stmt || ':' || evid, ',' ORDER BY stmt, evid) AS pieces FROM r GROUP BY ALL""", "evidence")
 def _(v):
-    return A.edge_evidence(v.evidence, []).select("subj", "obj", "n", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["stmt"], e["evid"])), ",").alias("pieces"))
+    parts = A.edge_evidence(v.evidence, [], size=50)
+    return parts.select("subj", "obj", "n", "part", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["stmt"], e["evid"])), ",").alias("pieces"))
 
 
 @query("e15_edge_reinforcement", "SELECT subj, obj, round(avg(subj_pol * obj_pol), 6) AS reinforcement FROM evidence WHERE subj <> obj GROUP BY ALL", "evidence")
@@ -138,9 +140,11 @@ def _(v):
     return A.adjective_pairs(_adjectives(v), "subj_adjs", "obj_adjs")
 
 
-@query("e21_grounding_inventory", "SELECT p_type AS leaf, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS texts FROM part GROUP BY 1")
+@query("e21_grounding_inventory", """WITH d AS (SELECT DISTINCT p_type AS leaf, p_name AS t FROM part), r AS (SELECT leaf, t, count(*) OVER (PARTITION BY leaf) AS n, (row_number() OVER (PARTITION BY leaf ORDER BY t) - 1) // 20 AS part FROM d)
+    SELECT leaf, n, part, string_agg(t, '|' ORDER BY t) AS texts FROM r GROUP BY ALL""")
 def _(v):
-    return A.grounding_inventory(v.table("part").select(F.concat(F.lit("wm/x/"), "p_type").alias("g"), "p_name"), "g", "p_name").withColumn("texts", F.array_join("texts", "|"))
+    texts = v.table("part").select(F.concat(F.lit("wm/x/"), "p_type").alias("g"), "p_name")
+    return A.grounding_inventory(texts, "g", "p_name", size=20).withColumn("texts", F.array_join("texts", "|"))
 
 
 @query("e22_inspection_table", "SELECT subj, obj, obj_adj, round(avg(subj_pol), 6) AS subj_pol, round(avg(obj_pol), 6) AS obj_pol FROM evidence GROUP BY ALL", "evidence")

@@ -12,7 +12,7 @@ from causeway.operators import graph, scan, sensitivity
 from causeway.operators import forecast as K
 from causeway.operators import timeseries as T
 from causeway.plans.graphs import cells_sql
-from causeway.plans.registry import query
+from causeway.plans.registry import normal_sql, query, uniform_sql
 from causeway.plans.series import rounded
 from causeway.sources.writers import write_table
 
@@ -228,12 +228,13 @@ def _(v):
     return rounded(K.walk_forward_backtest(v.means, ["concept"], 24, 6, [60, 66, 72]), "rmse", digits=2)
 
 
-@query("k20_synthetic_obs")
+@query("k20_synthetic_obs", cells_sql(f", {_LINEAR} SELECT draw, name, step, round(value + 0.1 * {normal_sql('draw', 'name', 'step', seed=3)}, 6) AS value FROM lin").replace(" , nd AS", ", nd AS"))
 def _(v):
-    return K.synthetic_obs(_linear(v), 0.1, seed=3)
+    return rounded(K.synthetic_obs(_linear(v), 0.1, seed=3), "value")
 
 
-@query("k21_random_graph")
+@query("k21_random_graph", f"""WITH w AS (SELECT c_custkey AS id, CAST(floor({uniform_sql('c_custkey', seed=4)} * c_custkey) AS BIGINT) AS t FROM customer UNION ALL SELECT c_custkey, CAST(floor({uniform_sql('c_custkey', seed=6)} * c_custkey) AS BIGINT) FROM customer WHERE {uniform_sql('c_custkey', seed=5)} < 0.2)
+    SELECT DISTINCT coalesce(c_custkey, (SELECT min(c_custkey) FROM customer)) AS src, id AS dst FROM w LEFT JOIN customer ON c_custkey = t WHERE coalesce(c_custkey, (SELECT min(c_custkey) FROM customer)) <> id""")
 def _(v):
     return K.random_graph(v.table("customer").select(F.col("c_custkey").alias("id")), 0.2, seed=4)
 
@@ -241,7 +242,12 @@ def _(v):
 _BOUNDS = {"a": [0, 2], "b": [-1, 1], "c": [5]}
 
 
-@query("l1_design_table")
+_CELL = "CASE WHEN block IN ('B', 'A_{v}') THEN {b} ELSE {a} END"
+_DRAWN = {v: _CELL.format(v=v, a=uniform_sql("id", f"'{v}'", "'A'", seed=5), b=uniform_sql("id", f"'{v}'", "'B'", seed=5)) for v in "ac"}
+
+
+@query("l1_design_table", f"""WITH r AS (SELECT c_custkey AS id, unnest(['A', 'B', 'A_a', 'A_b', 'A_c']) AS block FROM customer), d AS (SELECT block, 2 * {_DRAWN['a']} AS a, CASE WHEN {_DRAWN['c']} < 0.5 THEN 0.0 ELSE 1.0 END::DOUBLE AS c FROM r)
+    SELECT block, count(*) AS n, round(avg(a), 2) AS a, min(c) AS low, max(c) AS high FROM d GROUP BY 1""")
 def _(v):
     return sensitivity.design_table(v.table("customer").select(F.col("c_custkey").alias("id")), _BOUNDS, seed=5, categories=["c"]).groupBy("block").agg(F.count("*").alias("n"), F.round(F.avg("a"), 2).alias("a"), F.min("c").alias("low"), F.max("c").alias("high"))
 
@@ -266,9 +272,15 @@ def _(v):
     return rounded(sensitivity.second_order(out.union(more), ["x", "y"]), "s2")
 
 
-@query("l3_index_confidence")
+_WEIGHT = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in sensitivity.poisson_steps())
+
+
+@query("l3_index_confidence", f"""WITH {_OUT}, u AS (SELECT wd.*, rep, {uniform_sql("id", "rep", seed=6)} AS u FROM wd, range(1, 21) t(rep)), w AS (SELECT *, {_WEIGHT} AS w FROM u),
+    s AS (SELECT rep, sum(w) AS n, sum(w * (A + B)) / (2 * sum(w)) AS m, sum(w * (A * A + B * B)) / (2 * sum(w)) AS q, sum(w * B * (Ax - A)) AS sx, sum(w * B * (Ay - A)) AS sy, sum(w * pow(A - Ax, 2)) / 2 AS tx, sum(w * pow(A - Ay, 2)) / 2 AS ty FROM w GROUP BY 1),
+    i AS (SELECT unnest(['x', 'y']) AS variable, unnest([sx, sy]) / n / (q - m * m) AS s1, unnest([tx, ty]) / n / (q - m * m) AS st FROM s)
+    SELECT variable, round(1.96 * stddev_samp(s1), 6) AS s1_conf, round(1.96 * stddev_samp(st), 6) AS st_conf FROM i GROUP BY 1""")
 def _(v):
-    return sensitivity.index_confidence(_given(v), ["x", "y"], 20, seed=6)
+    return rounded(sensitivity.index_confidence(_given(v), ["x", "y"], 20, seed=6), "s1_conf", "st_conf")
 
 
 @query("l4_s2_extremes", "SELECT k, min(s) AS s2_min, (list(i ORDER BY s, i, j))[1] AS min_i, (list(j ORDER BY s, i, j))[1] AS min_j, max(s) AS s2_max, (list(i ORDER BY s DESC, i DESC, j DESC))[1] AS max_i, (list(j ORDER BY s DESC, i DESC, j DESC))[1] AS max_j FROM (SELECT c_nationkey AS k, c_mktsegment AS i, c_custkey AS j, c_acctbal AS s FROM customer) GROUP BY 1")
@@ -278,8 +290,8 @@ def _(v):
 
 @query("l5_index_convergence", f"WITH {_OUT}, sz AS (SELECT CAST(unnest([n // 4, n // 2, n]) AS INT) AS size FROM (SELECT max(l_orderkey) + 1 AS n FROM lineitem)), w2 AS (SELECT * FROM wd, sz WHERE id < size), v2 AS (SELECT size, var_pop(y) AS v FROM (SELECT size, A AS y FROM w2 UNION ALL SELECT size, B FROM w2) GROUP BY 1) SELECT size, 'x' AS variable, round(avg(B * (Ax - A)) / any_value(v), 6) AS s1, round(avg(pow(A - Ax, 2)) / 2 / any_value(v), 6) AS st FROM w2 JOIN v2 USING (size) GROUP BY 1")
 def _(v):
-    n = v.table("lineitem").agg(F.max("l_orderkey") + 1).first()[0] or 0
-    return rounded(sensitivity.index_convergence(_given(v), ["x", "y"], [n // 4, n // 2, n]).where("variable = 'x'"), "s1", "st")
+    sizes = v.table("lineitem").agg((F.max("l_orderkey") + 1).alias("n")).select(F.explode(F.expr("transform(array(n div 4, n div 2, n), s -> cast(s as int))")).alias("size"))
+    return rounded(sensitivity.index_convergence(_given(v), ["x", "y"], sizes).where("variable = 'x'"), "s1", "st")
 
 
 @query("m1_math_scalars", f"SELECT p_partkey, round(p_retailprice, 1) AS r, p_size * p_size AS sq, round({-0.5 * math.log(2 * math.pi)} - ln(p_size) - 0.5 * pow((p_retailprice - 1000) / p_size, 2), 6) AS lp FROM part")

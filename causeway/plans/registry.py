@@ -11,6 +11,17 @@ from causeway.plans.views import SQL, Views
 _QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
 
 
+def uniform_sql(*key: str, seed: int = 0) -> str:
+    """functions.uniform() in SQL; keys are expressions without nulls."""
+    text = " || '|' || ".join([*(f"CAST({k} AS VARCHAR)" for k in key), f"'{seed}'"])
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52)!r})"
+
+
+def normal_sql(*key: str, seed: int = 0) -> str:
+    """functions.normal() in SQL."""
+    return f"(sqrt(-2 * ln({uniform_sql(*key, seed=2 * seed)})) * cos(2 * pi() * {uniform_sql(*key, seed=2 * seed + 1)}))"
+
+
 def query(name: str, sql: str | None = None, views: str = ""):
     """Registers a function of Views as a query; sql is its equivalent over the named views."""
 
@@ -19,7 +30,8 @@ def query(name: str, sql: str | None = None, views: str = ""):
             raise ValueError(f"{name} is registered twice")
         text = None if sql is None else "WITH " * bool(views) + ", ".join(f"{v} AS ({SQL[v]})" for v in views.split()) + " " + sql.strip()
         if text and views and sql.strip().upper().startswith("WITH "):
-            text = "WITH " + ", ".join(f"{v} AS ({SQL[v]})" for v in views.split()) + ", " + sql.strip()[5:]
+            head = "WITH RECURSIVE " if sql.strip().upper().startswith("WITH RECURSIVE ") else "WITH "
+            text = head + ", ".join(f"{v} AS ({SQL[v]})" for v in views.split()) + ", " + sql.strip()[len(head) :]
         _QUERIES[name] = (function, text)
         return function
 

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,59 @@ def write_tsv(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.csv(path, schema=df.schema, sep="\t", header=True)
 
 
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """df as the new version of the table at a path; readers of current() see the old or the new one, whole.
+
+    Rows go to a fresh folder first; then one row that names it is appended to the table of
+    versions, which Spark commits by renaming a file. A driver that is lost in between leaves a
+    folder that no version names. Of two writers at once the larger name wins.
+    """
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{name}")
+    _switch(spark, path, name)
+    return current(spark, path)
+
+
+def _switch(spark: SparkSession, path: str, name: str) -> None:
+    known = _versions(spark, path)
+    seq = known[0] + 1 if known else 1
+    spark.createDataFrame([(seq, name)], _VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+_VERSION = "seq long, name string"
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """seq and name of the newest version; None before the first."""
+    try:
+        rows = spark.read.schema(_VERSION).parquet(f"{path}/versions")
+        return rows.agg(F.max(F.struct("seq", "name")).alias("v")).select("v.*").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that publish() wrote."""
+    known = _versions(spark, path)
+    if known is None or known[1] is None:
+        raise FileNotFoundError(f"no version of {path}")
+    return spark.read.parquet(f"{path}/data/{known[1]}")
+
+
 def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of updates, and rows of base whose key isn't among theirs, written anew."""
     return write_table(base.join(updates, list(key), "left_anti").select(*base.columns).unionByName(updates), "upsert")
 
 
+def upsert_into(path: str, updates: DataFrame, key: Sequence[str]) -> DataFrame:
+    """upsert() into a published table: the merged rows become its next version."""
+    base = current(updates.sparkSession, path)
+    return publish(base.join(updates, list(key), "left_anti").select(*base.columns).unionByName(updates), path)
+
+
 def write_variable_list(df: DataFrame, name: str, column: str = "variable") -> DataFrame:
     """Distinct names, one on each line."""
     path = fresh_path(df.sparkSession, name)
@@ -54,9 +103,14 @@ def write_variable_list(df: DataFrame, name: str, column: str = "variable") -> D
     return df.sparkSession.read.text(path)
 
 
-def edges_json(edges: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """For each model, its edges as one JSON document."""
-    return edges.groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("edges"))
+def edges_json(edges: DataFrame, key: Sequence[str], fields: Sequence[str], size: int = 4096) -> DataFrame:
+    """For each model its edges as JSON arrays of up to `size` edges in order: key, n (all its edges), part and edges.
+
+    A large model's document is its parts one after another; none is built as a whole.
+    """
+    from causeway.operators import scan  # which writes its tables with this module
+
+    return scan.chunked(edges, key, fields, fields, size, "edges").withColumn("edges", F.to_json("edges"))
 
 
 def nodes_without_indicator(nodes: DataFrame, indicators: DataFrame) -> DataFrame:

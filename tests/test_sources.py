@@ -102,6 +102,33 @@ def test_writers(spark, tmp_path):
     assert writers.nodes_without_indicator(spark.createDataFrame([("x",), ("y",)], "concept string"), spark.createDataFrame([("x",)], "concept string")).first().concept == "y"
 
 
+def test_a_table_is_whole_before_and_after_the_switch(spark, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "versioned"), spark.createDataFrame([(1, "a"), (2, None)], "k int, variable string")
+    with pytest.raises(FileNotFoundError):
+        writers.current(spark, path)
+    assert rows(writers.publish(df, path)) == [(1, "a"), (2, None)]
+    new = spark.createDataFrame([(2, "b"), (3, "c")], "k int, variable string")
+
+    def lost(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_switch", lost)  # stops between the write and the switch
+        with pytest.raises(RuntimeError):
+            writers.upsert_into(path, new, ["k"])
+    assert rows(writers.current(spark, path)) == [(1, "a"), (2, None)]
+    before = writers.current(spark, path)
+    assert rows(writers.upsert_into(path, new, ["k"])) == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows(before) == [(1, "a"), (2, None)] and rows(writers.current(spark, path)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_edges_json_in_parts(spark):
+    df = spark.createDataFrame([("m", f"n{k:02}", k) for k in range(25)] + [(None, "x", 1)], "model string, dst string, w int")
+    out = rows(writers.edges_json(df, ["model"], ["dst", "w"], size=10).where("model = 'm'"))
+    assert [r[:3] for r in out] == [("m", 25, 0), ("m", 25, 1), ("m", 25, 2)]
+    assert [e["w"] for r in out for e in json.loads(r[3])] == list(range(25))
+
+
 @pytest.mark.parametrize("text", ["[]", "{}"])
 def test_empty_documents(spark, tmp_path, text):
     assert readers.read_links(spark, put(tmp_path, "empty.json", text)).count() == 0
