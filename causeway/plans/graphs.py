@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.operators import graph as I
+from causeway.operators import scan
 from causeway.plans.registry import query
 from causeway.sources.writers import write_table
 
@@ -101,7 +102,9 @@ def _(v):
     return I.levels(v.dag)
 
 
-@query("i10_influence_blanket")
+@query("i10_influence_blanket", _recursive("edges dag", "dag", """, mn AS (SELECT DISTINCT unnest(path) AS name FROM walk WHERE src = 'r0' AND dst = 'c1'), side AS (SELECT DISTINCT src AS name FROM dag WHERE dst IN (SELECT name FROM mn WHERE substr(name, 1, 1) IN ('n', 'g')) AND src NOT IN (SELECT name FROM mn)),
+    lit AS (SELECT dst, min(src) AS src FROM dag WHERE dst IN (SELECT name FROM side) GROUP BY dst HAVING min(src) LIKE 'g%'), am AS (SELECT name FROM (SELECT name FROM mn UNION SELECT dst FROM lit UNION SELECT src FROM lit) WHERE name NOT IN ('r0', 'c1'))
+    SELECT name, 'main' AS role FROM am UNION ALL SELECT name, 'blanket' FROM side WHERE name NOT IN (SELECT dst FROM lit) AND name NOT IN (SELECT name FROM am)""").replace(" , mn AS", ", mn AS"))
 def _(v):
     dag = write_table(v.dag, "dag")  # read many times below
     names = write_table(dag.select(F.col("src").alias("name")).union(dag.select("dst")).distinct(), "names")
@@ -118,6 +121,36 @@ def _(v):
     return I.pair_common_ancestor(v.dag, pairs)
 
 
+@query("i2_closure_orders", "SELECT 'n0' AS name, 0 AS hops UNION ALL SELECT DISTINCT 'c' || c_custkey, 1 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 0 UNION ALL SELECT 'o' || o_orderkey, CAST(2 + i // 2 AS INT) FROM placed JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 0", "placed")
+def _(v):
+    return I.k_hop(write_table(v.story, "story"), v.table("nation").where("n_nationkey = 0").select(F.lit("n0").alias("name")))
+
+
+@query("i9_levels_orders", "SELECT DISTINCT src AS name, 0 AS level FROM story WHERE src LIKE 'n%' UNION ALL SELECT dst, 1 FROM story WHERE dst LIKE 'c%' UNION ALL SELECT 'o' || o_orderkey, CAST(i + 1 AS INT) FROM placed", "placed story")
+def _(v):
+    return I.levels(write_table(v.story, "story"))
+
+
+_ORDER_THETA = "CAST((ascii(right(src, 1)) * 3 + ascii(right(dst, 1))) % 7 - 3 AS DOUBLE) / 10"
+
+
+@query("i8_cell_values_orders", f"WITH RECURSIVE th AS (SELECT src, dst, tan({_ORDER_THETA}) AS f FROM story WHERE src NOT LIKE 'n%'), c AS (SELECT src, dst, f AS p FROM th UNION ALL SELECT c.src, th.dst, sum(c.p * th.f) FROM c JOIN th ON c.dst = th.src GROUP BY ALL) SELECT src, dst, round(sum(p), 9) + 0.0 AS value FROM c GROUP BY ALL", "placed story")
+def _(v):
+    """Cells of graphs as deep as customers have orders; their paths would be too many to be rows."""
+    theta = v.story.where("src NOT LIKE 'n%'").select("src", "dst", F.expr(_ORDER_THETA).alias("theta"))
+    return I.cell_values(theta, ()).withColumn("value", F.round("value", 9) + 0.0)
+
+
+@query("i11_common_ancestor_orders", """WITH q AS (SELECT a.*, c_nationkey AS nat FROM placed a JOIN customer ON o_custkey = c_custkey), w AS (SELECT q.*, lead(o_orderkey) OVER o AS k2, lead(o_custkey) OVER o AS c2, lead(i) OVER o AS i2, lead(nat) OVER o AS n2 FROM q WINDOW o AS (PARTITION BY nat ORDER BY o_orderkey))
+    SELECT 'o' || o_orderkey AS a, 'o' || k2 AS b, CASE WHEN o_custkey <> c2 THEN 'n' || nat WHEN i < i2 THEN 'o' || o_orderkey ELSE 'o' || k2 END AS ancestor FROM w WHERE k2 IS NOT NULL""", "placed")
+def _(v):
+    """Of each order and the next one from its nation: the earlier one if both are of one customer, else the nation."""
+    o = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey")
+    following = scan.pairwise(o, ["c_nationkey"], ["o_orderkey"], ["o_orderkey"]).where("next_o_orderkey IS NOT NULL")
+    pairs = following.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("o"), "next_o_orderkey").alias("b"))
+    return I.pair_common_ancestor(write_table(v.story, "story"), write_table(pairs, "pairs"))
+
+
 @query("i12_text_distance", "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
 def _(v):
     return I.text_distance(v.table("part"), "p_name", "p_type").select("p_partkey", F.col("distance").cast("long").alias("distance"))

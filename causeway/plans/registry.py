@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
 
 def _load() -> None:
-    from causeway.plans import aggregates, cleaning, forecasts, graphs, lookups, priors, seasons, series, statements  # noqa: F401
+    from causeway.plans import aggregates, cleaning, files, forecasts, graphs, lookups, priors, seasons, series, statements  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

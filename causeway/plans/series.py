@@ -57,10 +57,13 @@ def _(v):
     return rounded(means.withColumn("value", F.col("value") + 1e-7), "value", digits=4)  # past ties, which engines round differently
 
 
-@query("f8_mean_with_ci", "SELECT o_orderpriority AS k, round(avg(o_totalprice), 4) AS mean, round(avg(o_totalprice) - 1.959963984540054 * stddev_samp(o_totalprice) / sqrt(count(*)), 0) AS lower, round(avg(o_totalprice) + 1.959963984540054 * stddev_samp(o_totalprice) / sqrt(count(*)), 0) AS upper FROM orders GROUP BY 1")
+_T = " + ".join(f"{term!r} / pow(count(*) - 1, {k})" for k, term in enumerate(T.expansion(1.959963984540054)))
+
+
+@query("f8_mean_with_ci", f"SELECT o_orderpriority AS k, round(avg(o_totalprice), 4) AS mean, round(avg(o_totalprice) - ({_T}) * stddev_samp(o_totalprice) / sqrt(count(*)), 2) AS lower, round(avg(o_totalprice) + ({_T}) * stddev_samp(o_totalprice) / sqrt(count(*)), 2) AS upper FROM orders GROUP BY 1")
 def _(v):
     many = T.mean_with_ci(v.table("orders").select(F.col("o_orderpriority").alias("k"), "o_totalprice"), ["k"], "o_totalprice")
-    return rounded(rounded(many, "mean", digits=4), "lower", "upper", digits=0)
+    return rounded(rounded(many, "mean", digits=4), "lower", "upper", digits=2)
 
 
 @query("f9_season_bin", "SELECT CAST(step % 12 AS INT) AS bin, count(*) AS n FROM steps GROUP BY 1", "steps")

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import scan
+
 SQL = {
     "indicator": """SELECT r_name AS country, n_name AS state, CAST(NULL AS VARCHAR) AS county, 'L' AS source, l_linestatus AS unit, l_returnflag AS variable,
         CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, l_quantity AS value
@@ -22,6 +24,9 @@ SQL = {
         UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'g' || c_mktsegment, 'c' || c_custkey FROM customer
         UNION SELECT unnest(['r' || n_regionkey, 'r' || n_regionkey]), unnest(['g' || c_mktsegment, 'c' || c_custkey]) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "dag": "SELECT src, dst FROM edges WHERE NOT (src LIKE 'n%' AND dst LIKE 'r%')",
+    "placed": "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders",
+    "story": """SELECT DISTINCT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM placed WHERE i = 1
+        UNION ALL SELECT 'o' || a.o_orderkey, 'o' || b.o_orderkey FROM placed a JOIN placed b ON a.o_custkey = b.o_custkey AND b.i - a.i BETWEEN 1 AND 2""",
     "concept_map": "SELECT p_type AS concept, 'P' AS source, p_brand AS indicator, p_retailprice / 1000 AS score FROM part",
     "responses": "SELECT o_orderpriority AS adjective, CAST(o_orderkey % 101 - 50 AS DOUBLE) / 50 AS response FROM orders",
     "timings": "SELECT CAST(o_custkey % 8 AS INT) AS nodes, CAST(o_orderkey % 4 AS INT) AS edges, o_orderstatus AS kind, o_totalprice AS wall, o_totalprice / 2 AS cpu FROM orders",
@@ -97,6 +102,19 @@ class Views:
     def dag(self) -> DataFrame:
         return self.edges.where("NOT (src LIKE 'n%' AND dst LIKE 'r%')")
 
+    @cached_property
+    def story(self) -> DataFrame:
+        """Nations lead to customers, customers to their first order, and each order to the next two of its customer:
+        as deep as a customer has orders, with ever more ways to the later ones."""
+        orders = self.table("orders").select("o_custkey", "o_orderkey", "o_orderdate")
+        rows, w = scan.neighbourly(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], before=2)
+        order = F.concat(F.lit("o"), "o_orderkey")
+        before = lambda k: F.concat(F.lit("o"), F.lag("o_orderkey", k).over(w))
+        first = F.when(F.col("index") == 0, F.concat(F.lit("c"), "o_custkey"))
+        found = rows.select("__own", order.alias("dst"), F.explode(F.array_compact(F.array(first, before(1), before(2)))).alias("src"))
+        homes = self.table("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+        return homes.union(found.where("__own").select("src", "dst"))
+
     @cached_property
     def concept_map(self) -> DataFrame:
         return self.table("part").select(F.col("p_type").alias("concept"), F.lit("P").alias("source"), F.col("p_brand").alias("indicator"), (F.col("p_retailprice") / 1000).alias("score"))

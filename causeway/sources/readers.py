@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +29,43 @@ def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     return fill_sentinels(spark.read.csv(path, schema=schemas.INDICATOR, sep="\t", header=True, enforceSchema=True))
 
 
-def read_layouts(spark: SparkSession, paths: Sequence[str], drop: str = "Code|Flag|Note|ElementGroup", encoding: str = "ISO-8859-1") -> DataFrame:
-    """CSV files of different layouts as one table of strings, without columns whose names match `drop`."""
-    frames = []
-    for path in paths:
-        df = spark.read.csv(path, header=True, encoding=encoding)
-        frames.append(df.select(*[F.col(f"`{c}`") for c in df.columns if not re.search(drop, c)]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+#: A comma outside quotes: an even number of quotes follows it.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a line of a CSV file, without their quotes; empty ones are null."""
+    plain = lambda f: F.when(f.rlike('^".*"$'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(F.split(line, _COMMA, -1), lambda f: F.nullif(plain(f), F.lit("")))
+
+
+def layout_rows(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
+    """file, fields (a map from the file's own header to a line's values) and reject, in one scan of all files.
+
+    A file's header is its first line. A line with another number of fields than its header is a
+    reject as it stands, with null fields; a line that repeats the header, or is empty, goes. Records are lines.
+    """
+    # a separator that texts don't hold, and no quotes: each line is one value, decoded
+    scan = spark.read.csv([*paths], schema="value string", sep="\x01", quote="", escape="", encoding=encoding)
+    lines = scan.select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("__first"), F.monotonically_increasing_id().alias("__at")).where("value <> ''")
+    # a file's first block holds its first line; a task reads blocks one after another
+    heads = lines.where("__first").groupBy("file").agg(F.min_by("value", "__at").alias("__head"))
+    both = lines.join(heads, "file").where(~F.col("__first") | (F.col("value") != F.col("__head")))
+    both = both.select("file", "value", _fields(F.col("__head")).alias("__names"), _fields(F.col("value")).alias("__values"))
+    fine = F.size("__names") == F.size("__values")
+    return both.select("file", F.when(fine, F.map_from_arrays("__names", "__values")).alias("fields"), F.when(~fine, F.col("value")).alias("reject"))
+
+
+def read_layouts(spark: SparkSession, paths: Sequence[str], drop: str = "Code|Flag|Note|ElementGroup", encoding: str = "ISO-8859-1", rejects: str | None = None) -> DataFrame:
+    """CSV files of different layouts as one table of strings, without columns whose names match `drop`.
+
+    Columns are those of all headers, by name. Lines that don't fit their header are left out, or
+    kept in the column `rejects`. All files are one scan, however many they are.
+    """
+    rows = layout_rows(spark, paths, encoding)
+    names = [r[0] for r in rows.where("fields IS NOT NULL").select(F.explode(F.map_keys("fields"))).distinct().collect()]  # as many as columns
+    columns = [F.element_at("fields", n).alias(n) for n in sorted(names) if not re.search(drop, n)]
+    return rows.where("reject IS NULL").select(*columns) if rejects is None else rows.select(*columns, F.col("reject").alias(rejects))
 
 
 def read_wide_years(spark: SparkSession, path: str, names: Mapping[str, str], countries: Sequence[str], country: str = "Country Name") -> DataFrame:
@@ -65,10 +94,10 @@ def file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
-def read_dssat_aggregate(spark: SparkSession, path: str, columns: Sequence[str], crops: Mapping[str, str]) -> DataFrame:
-    """A crop model's CSV files, whose names are <state>_<crop code>.csv: the columns, state, crop, source."""
+def read_dssat_aggregate(spark: SparkSession, path: str, columns: Sequence[str], crops: Mapping[str, str], name: Column | None = None) -> DataFrame:
+    """A crop model's CSV files, whose names (or folders, told by name) are <state>_<crop code>.csv: the columns, state, crop, source."""
     df = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), header=True, enforceSchema=True)
-    parts = F.split(F.regexp_replace(file_name(), r"\.[^.]*$", ""), "_")
+    parts = F.split(F.regexp_replace(file_name(), r"\.[^.]*$", "") if name is None else name, "_")
     return df.select(*columns, F.translate(parts[0], "-", " ").alias("state"), F.coalesce(lookup(F.element_at(parts, -1), crops), F.element_at(parts, -1)).alias("crop"), F.lit("DSSAT").alias("source"))
 
 

@@ -29,6 +29,7 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SMALL)
     rows, sql = df.collect(), registry.oracle_sql().get(name)
     assert len(set(df.columns)) == len(df.columns)
+    assert rows, "a query without rows shows nothing"
     if sql is None:
         return
     want = duck.execute(sql).fetchall()
