@@ -16,7 +16,7 @@ from causeway.sources.writers import write_table
 #: Paths beyond which simple_paths() refuses to go on.
 MOST_PATHS = 100_000_000
 #: Written rounds that a plan holds side by side.
-MOST_ROUNDS = 24
+MOST_ROUNDS = 8
 
 
 def successors(edges: DataFrame, names: DataFrame) -> DataFrame:

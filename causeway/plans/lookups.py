@@ -22,7 +22,12 @@ _REQ = """SELECT o_orderkey AS request, ['A', 'N', 'R'][o_orderkey % 3 + 1] AS v
     CAST(1995 + o_custkey % 8 AS INT) AS year, CAST(o_custkey % 14 AS INT) AS month FROM orders"""
 
 
-@query("d1_map_concepts")
+# Claims in the order of score, concept and indicator: each that is still free is granted.
+@query("d1_map_concepts", """WITH RECURSIVE c AS (SELECT p_type AS concept, lower(p_brand) AS v, min(p_brand) AS indicator, max(p_retailprice / 1000) AS score FROM part GROUP BY ALL), cl AS (SELECT *, row_number() OVER (ORDER BY score DESC, concept, v) AS i FROM c),
+    g(i, vs, cs) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT cl.i, CASE WHEN free THEN list_append(vs, v) ELSE vs END, CASE WHEN free THEN list_append(cs, concept) ELSE cs END
+        FROM (SELECT g.vs, g.cs, cl.*, NOT list_contains(g.vs, cl.v) AND len(list_filter(g.cs, lambda x: x = cl.concept)) < 2 AS free FROM g JOIN cl ON cl.i = g.i + 1) cl),
+    t AS (SELECT unnest(vs) AS v, unnest(cs) AS concept FROM g WHERE i = (SELECT max(i) FROM cl))
+    SELECT concept, CAST(row_number() OVER (PARTITION BY concept ORDER BY score DESC, v) AS INT) AS rank, indicator, score FROM t JOIN c USING (concept, v)""")
 def _(v):
     data = v.table("part").select(F.upper("p_brand").alias("variable"))
     return lookup.map_concepts(v.concept_map.select("concept"), v.concept_map, data, 2)

@@ -108,12 +108,12 @@ class Views:
         as deep as a customer has orders, with ever more ways to the later ones."""
         orders = self.table("orders").select("o_custkey", "o_orderkey", "o_orderdate")
         rows, w = scan.neighbourly(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], before=2)
-        order = F.concat(F.lit("o"), "o_orderkey")
-        before = lambda k: F.concat(F.lit("o"), F.lag("o_orderkey", k).over(w))
+        rows = rows.withColumns({f"before{k}": F.lag("o_orderkey", k).over(w) for k in (1, 2)}).where("__own")
+        order = lambda c: F.concat(F.lit("o"), c)
         first = F.when(F.col("index") == 0, F.concat(F.lit("c"), "o_custkey"))
-        found = rows.select("__own", order.alias("dst"), F.explode(F.array_compact(F.array(first, before(1), before(2)))).alias("src"))
+        found = rows.select(F.explode(F.array_compact(F.array(first, order("before1"), order("before2")))).alias("src"), order("o_orderkey").alias("dst"))
         homes = self.table("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
-        return homes.union(found.where("__own").select("src", "dst"))
+        return homes.union(found)
 
     @cached_property
     def concept_map(self) -> DataFrame:
