@@ -81,7 +81,7 @@ def index_confidence(outputs: DataFrame, names: Sequence[str], repeats: int = 10
     wide = outputs.groupBy("id").pivot("block", ["A", "B", *[f"A_{v}" for v in names]]).agg(F.first("y"))
     u = uniform(F.col("id"), F.col("rep"), seed=seed)
     weight = reduce(lambda a, b: a + b, [F.when(u > c, 1).otherwise(0) for c in poisson_steps()])
-    rows = wide.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", weight).where("w > 0")
+    rows = wide.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", weight)
     w, a, b = F.col("w"), F.col("A"), F.col("B")
     first = [F.sum(w * b * (F.col(f"A_{v}") - a)).alias(f"__s_{v}") for v in names]
     total = [F.sum(w * F.pow(a - F.col(f"A_{v}"), 2)).alias(f"__t_{v}") for v in names]
