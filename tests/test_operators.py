@@ -137,6 +137,29 @@ def test_fourier_fit_recovers_a_curve(spark):
     assert len(half) == 13 and np.isfinite(half).all()
 
 
+def test_fit_all_equals_a_plain_solver(spark):
+    pick = np.random.default_rng(8)
+    rows = [(k, b, float(pick.normal() + b % 5)) for k in ("s", "t") for b in range(12) for _ in range(int(pick.integers(1, 5)))]
+    mids = [(k, b, float(pick.normal())) for k in ("s", "t") for b in range(12)]
+    out = seasonal.fit_all(spark.createDataFrame(rows, "k string, bin int, value double").withColumnRenamed("k", "series"), spark.createDataFrame(mids, "series string, bin int, midpoint double"), ["series"], 12, 6)
+    got = {(r.series, r.k): r.rmse for r in out.collect()}
+
+    def terms(at, k):
+        return np.array([[1.0] + [f(math.pi / 6 * w * b) * s for w in range(1, k + 1) for f, s in ((math.sin, 1), (math.cos, math.pi / 6 * w))] for b in at])
+
+    assert len(got) == 14
+    for (key, k), rmse in got.items():
+        mine, points = [r for r in rows if r[0] == key], [m for m in mids if m[0] == key]
+        coef = np.linalg.lstsq(terms([r[1] for r in mine], k), np.array([r[2] for r in mine]), rcond=1e-8)[0]
+        error = terms([m[1] + 0.5 for m in points], k) @ coef - np.array([m[2] for m in points])
+        assert math.isclose(rmse, math.sqrt((error**2).mean()), rel_tol=1e-6)
+
+
+def test_expanded_quantile_meets_the_integrated_one():
+    z = 1.959963984540054
+    assert all(abs(sum(t / n**k for k, t in enumerate(timeseries.expansion(z))) - timeseries.t_quantile(0.975, n)) < 1e-7 for n in (150, 199))
+
+
 def test_season_sequences_compound(spark):
     p = spark.createDataFrame([("s", 0, 1.0), ("s", 1, 3.0), ("s", 2, 0.5)], "k string, bin int, centre double")
     for model in ("absolute", "relative", "centre"):
