@@ -33,10 +33,28 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: What closes a path besides slashes, and the character that stands for it while closings are trimmed.
+_MARKS = (("/index.html", "\x01"), ("/index.htm", "\x02"), (".html", "\x03"), (".htm", "\x04"))
+
+
+def without_closing(path_: Column) -> Column:
+    """A path without the slashes, index pages and endings that close it, however many: (/|/index.html?|.html?)+ at its end.
+
+    Closings become single characters, which are trimmed: a repeated group of a pattern would need
+    a stack as deep as a path has closings. Only paths that hold such characters take the pattern.
+    """
+    short = path_
+    for closing, mark in _MARKS:
+        short = F.replace(short, F.lit(closing), F.lit(mark))
+    short = F.rtrim(short, F.lit("/" + "".join(mark for _, mark in _MARKS)))
+    for closing, mark in _MARKS:
+        short = F.replace(short, F.lit(mark), F.lit(closing))
+    return F.when(path_.rlike("[\x01-\x04]"), F.regexp_replace(path_, r"(?:/|/index\.html?|\.html?)+$", "")).otherwise(short)
+
+
 def canonical(url: Column) -> Column:
     """Host and path without scheme, query, fragment, 'www.' or 'm.' and closing slashes or index pages."""
-    short = F.regexp_replace(host(url), r"^(?:www|m)\.", "")
-    return F.concat(short, F.regexp_replace(path(url), r"(?:/|/index\.html?|\.html?)+$", ""))
+    return F.concat(F.regexp_replace(host(url), r"^(?:www|m)\.", ""), without_closing(path(url)))
 
 
 def longest_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:

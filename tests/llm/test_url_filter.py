@@ -1,13 +1,14 @@
 """URL rules and lists against plain Python."""
 
 import re
+from itertools import product
 
 from causeway.llm import _bloom, queries, url_filter
 
 URLS = [
     None, "", "no scheme", "http://", "http://NET", "https://a.Net/x", "https://example.net/en/a?b#c", "https://www.example.net/en", "ftp://sub.example.net/en/",
     "http://example.com/de/1", "http://example.com/DE/1", "http://notexample.com/de/", "http://x.org/fr/", "http://org/fr/", "http://x.org?/fr/", "a://b://net/", "http://spam.site/a/index.html",
-    "http://www.spam.site/a/", "http://m.spam.site/a", "http://spam.site/A", "http://spam.site\n/a", "http://é.net/",
+    "http://www.spam.site/a/", "http://m.spam.site/a", "http://spam.site/A", "http://spam.site\n/a", "http://é.net/", "http://x.org/fr/" + "a/" * 100_000, "http://" + "h" * 200_000 + ".net", "http://spam.site/a" + "/" * 10_000,
 ]
 
 
@@ -41,6 +42,14 @@ def test_against_plain_rules_and_lists(spark):
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES, entries, "entry").count() == 0
 
 
+def test_closings_are_trimmed_as_the_pattern_would(spark):
+    parts = ["/", "/index.html", "/index.htm", ".html", ".htm", "/index", "l", "a", "/index.htmlx", "\x01", "."]
+    paths = ["".join(p) for n in range(5) for p in product(parts, repeat=n)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.short for r in df.withColumn("short", url_filter.without_closing(df.p)).collect()}
+    assert all(got[p] == re.sub(r"(/|/index\.html?|\.html?)+$", "", p) for p in paths)
+
+
 def test_false_hits_of_the_filter_are_removed(spark, monkeypatch):
     """A filter of one block that is full passes every URL; the join alone decides."""
     every = spark.range(2000).selectExpr("concat('k', id) key")
