@@ -11,7 +11,8 @@ less above it.
 Shingles are named by two 64-bit hashes under different keys. Every pair found is decided on the
 full sets of both: a link needs enough of either in common, so that a collision alone links nothing.
 
-Pairs of a bucket are not all emitted; see causeway.llm._buckets.
+Pairs of a bucket are not all emitted; see causeway.llm._buckets. Those between components that
+the draws left apart are decided, without exception, by how their sets differ from one member's.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ from causeway.llm._text import lists, lower, mix, shingle_sets, slices, utf8
 CHUNKS, SYMBOLS = 12, 7
 #: Signature distance up to which all pairs are found.
 DISTANCE = CHUNKS * 2 - 1
-#: Pairs with fewer equal symbols than this are not tested in the last round: 4.7 standard
-#: deviations below what is expected at a similarity of 0.8.
-LEAST_EQUAL = 50
+#: Members of a bucket that are held against all its others in one partition.
+SLOT = 1024
 
 #: The key of the second hash of words.
 SECOND = 0x5DEECE66D
@@ -128,36 +128,38 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("all"), both.alias("both")).where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def lone_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """id and lone: how many shingles of a member no other member has.
+def apart(held: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """held (head, id, part) with n, the size of id's set, and away: the shingles that only one of id and head has.
 
-    They bound the intersection with any of them, and so the similarity: variants of one text
-    differ from each other in shingles of their own, and fall out here before pairs are made.
+    Members of a bucket are mostly variants of one text, so that these are few where whole sets are large.
     """
-    few = _bloom.mark(texts, "id", _bloom.build(members, "id", BLOCKS), BLOCKS, "__named").where("__named")
-    each = shingle_arrays(few, words).select("id", F.explode("shingles").alias("shingle"))
-    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return once.groupBy("id").agg(F.count("*").alias("lone"))
-
+    few = _bloom.mark(texts, "id", _bloom.build(held.select("id"), "id", BLOCKS), BLOCKS, "__named").where("__named")
+    sets = shingle_arrays(few, words)
+    member, head = sets.select("id", "shingles"), sets.select(F.col("id").alias("head"), F.col("shingles").alias("of_head"))
+    away = F.concat(F.array_except("shingles", "of_head"), F.array_except("of_head", "shingles"))
+    return held.join(member, "id").join(head, "head").select("head", "id", "part", F.size("shingles").alias("n"), away.alias("away"))
 
-def _equal_symbols(x: Column, y: Column) -> Column:
-    """The number of equal bytes of each chunk of two signatures: zero bytes of the exclusive or."""
-    low = F.lit(0x7F7F7F7F7F7F7F7F)
 
-    def equal(p: Column, q: Column) -> Column:
-        d = p.bitwiseXOR(q)
-        return F.bit_count(F.bitwise_not((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseOR(low))) - 1
+def close_pairs(side: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different parts under one head that are similar enough by what sets them apart from it.
 
-    return F.zip_with(x, y, equal)
+    What two sets differ in is what either differs from the head in, but for what both do: their
+    difference follows from sizes and the intersection of two short arrays, exactly. It is
+    no less than the difference of sizes and of distances from the head, which is tested first.
+    Heads of many members are dealt to slots: a member in its own is held against all others there.
+    """
+    slots = side.groupBy("head").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots"))
+    dealt = keep(side.join(slots, "head"), "apart")
+    own, every = F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    x, y = (dealt.select("head", slot.alias("slot"), *[F.col(c).alias(f"{c}_{end}") for c in ("id", "part", "n", "away")]) for slot, end in ((own, "x"), (every, "y")))
+    total = F.col("n_x") + F.col("n_y")
 
+    def enough(differ: Column) -> Column:
+        return (total - differ) * 100 >= (total + differ) * percent
 
-def _first_meeting(key: Column, equal: Column) -> Column:
-    """Whether a key is the first that a pair shares: no earlier chunk has at most one error, and a
-    chunk without any counts for its first place left out only."""
-    at = F.shiftrightunsigned(key, 48).cast("int")
-    chunk, left_out = F.floor(at / SYMBOLS).cast("int"), F.pmod(at, F.lit(SYMBOLS))
-    earlier = F.exists(F.slice(equal, F.lit(1), chunk), lambda n: n >= SYMBOLS - 1)
-    return ~earlier & ((F.get(equal, chunk) < SYMBOLS) | (left_out == 0))
+    least = F.greatest(F.abs(F.col("n_x") - F.col("n_y")), F.abs(F.size("away_x") - F.size("away_y")))
+    differ = F.size("away_x") + F.size("away_y") - 2 * F.size(F.array_intersect("away_x", "away_y"))
+    return x.join(y, ["head", "slot"]).where((F.col("part_x") < F.col("part_y")) & enough(least) & enough(differ)).select("id_x", "id_y")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -180,15 +182,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, text: str
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def across(mixed: DataFrame) -> DataFrame:
-        side = alone.select("id", "n_shingles", "signature").distinct().join(lone_shingles(mixed, texts, words), "id", "left")
-        side = side.withColumn("shared", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
-        side = keep(mixed.join(side, "id"), "mixed")
-        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "part", "n_shingles", "shared", "signature")]) for end in "xy")
-        both = F.least("shared_x", "shared_y")
-        near = (F.col("part_x") < F.col("part_y")) & (both * 100 >= (F.col("n_shingles_x") + F.col("n_shingles_y") - both) * percent)
-        equal = _equal_symbols(F.col("signature_x"), F.col("signature_y"))
-        near &= (F.aggregate(equal, F.lit(0), lambda t, n: t + n) >= LEAST_EQUAL) & _first_meeting(F.col("key"), equal)
-        return x.join(y, "key").where(near).select("id_x", "id_y")
+        heads = mixed.groupBy("key").agg(F.min("id").alias("head"))
+        held = keep(mixed.join(heads, "key").select("head", "id", "part").distinct(), "held")
+        return close_pairs(apart(held, texts, words), percent)
 
     parts = link_buckets(chunk_keys(alone), lambda pairs: verify(pairs, texts, words, percent), across)
     found = rows.join(parts.withColumnRenamed("node", "id"), "id", "left")

@@ -68,6 +68,31 @@ def test_chains_and_edges(spark):
     assert {r.doc_id for r in out.where("kept").collect()} == {c for _, _, c in got(out)}
 
 
+@pytest.mark.parametrize("slot", [1024, 7])
+def test_pairs_between_parts_by_distance_from_a_head(spark, monkeypatch, slot):
+    """All pairs of variants around 0.8, by their differences from one of them, the head or an unlike one."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "SLOT", slot)
+    pick = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(70):
+        text = base[: int(pick.integers(80, 101))]
+        for at in pick.integers(0, len(text), int(pick.integers(0, 14))):
+            text[at] = f"x{k if k % 2 else int(at)}"
+        rows.append((k, " ".join(text)))
+    rows += [(70, "one"), (71, " ".join(f"v{k}" for k in range(90)))]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    held = [(head, i, i % 9) for head in (3, 71) for i, _ in rows]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    side = near_dedup.apart(spark.createDataFrame(held, "head long, id long, part long"), texts, 2)
+    pairs = near_dedup.close_pairs(side, 80).select(F.least("id_x", "id_y"), F.greatest("id_x", "id_y")).collect()
+    both = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2) if a % 9 != b % 9}
+    want = {(a, b) for (a, b), n in both.items() if n * 100 >= 80 * (len(sets[a]) + len(sets[b]) - n)}
+    assert len(pairs) == 2 * len(want) and {tuple(p) for p in pairs} == want and 100 < len(want) < len(both) - 100
+
+
 def test_near_nulls_repeats_and_clashing_names(spark):
     rows = [(None, "a b c"), (3, "a b c"), (3, "a b c"), (None, None), (4, "q r s")]
     df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, component_id int, key int, id int")
