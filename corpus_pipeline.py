@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All
 but the last return the columns of documents. Rows are told apart by their place in the table
 that a stage reads, so that null and repeated doc_ids lose nothing; a stage's input must
-therefore be a table that is read again unchanged, as run() sees to.
+therefore be a table that is read again unchanged, as run() sees to. Columns beside doc_id and
+text travel in one struct, so that none of their names can clash with an operator's own.
 """
 
 from __future__ import annotations
@@ -21,17 +22,27 @@ SEQUENCE = 2048
 CLOSING = 1
 
 
+def _folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and others, which holds all other columns."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
+
+
+def _unfolded(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from rows of doc_id, text and others."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is 0.5 or more; learnt from labels that aren't held out.
 
     Texts that are null or empty are scored like any other.
     """
     ranker = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, ranker, carry=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return _unfolded(quality.score(_folded(docs), ranker, carry=("doc_id", "text", "others")).where("predicted = 1"), docs)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    return _folded(docs).withColumn("__row", F.monotonically_increasing_id())
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +52,7 @@ def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     numbered = _numbered(docs)
     judged = exact_dedup.exact_duplicates(numbered.select(F.struct("doc_id", "__row").alias("key"), "text"), doc_id="key")
-    return _bloom.without(numbered, "__row", judged.where("NOT kept").select("doc_id.__row")).select(*docs.columns)
+    return _unfolded(_bloom.without(numbered, "__row", judged.where("NOT kept").select("doc_id.__row")), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +62,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     numbered = _numbered(docs)
     judged = near_dedup.near_duplicates(numbered.select("__row", "text"), words=5, percent=80, doc_id="__row")
-    return _bloom.without(numbered, "__row", keep(judged.where("NOT kept").select("doc_id"), "dropped")).select(*docs.columns)
+    return _unfolded(_bloom.without(numbered, "__row", keep(judged.where("NOT kept").select("doc_id"), "dropped")), docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +71,13 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Whole characters only; n_chars is counted anew where a text is cut. No document is dropped;
     a null text stays null.
     """
-    others = [c for c in docs.columns if c != "text"]
-    key = F.struct(*others, F.col("text").isNull().alias("__null"))
-    out = suffix_dedup.remove_repeats(docs.select(key.alias("key"), "text"), length=200, doc_id="key", whole_characters=True)
-    text = F.when(~F.col("doc_id.__null"), F.col("kept").cast("string"))
-    columns = {c: F.col(f"doc_id.{c}") for c in others} | {"text": text}
-    if "n_chars" in others:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    key = F.struct("doc_id", "others", F.col("text").isNull().alias("no_text"))
+    out = suffix_dedup.remove_repeats(_folded(docs).select(key.alias("key"), "text"), length=200, doc_id="key", whole_characters=True)
+    text, others = F.when(~F.col("doc_id.no_text"), F.col("kept").cast("string")), F.col("doc_id.others")
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(others["n_chars"])
+        others = others.withField("n_chars", counted)
+    return _unfolded(out.select(F.col("doc_id.doc_id").alias("doc_id"), text.alias("text"), others.alias("others")), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
