@@ -60,6 +60,20 @@ def test_stages(spark):
     assert sum(p.length for p in pieces) == sum(len(coder.encode(r.text or "").ids) + 1 for r in out)
 
 
+def test_clashing_names(spark):
+    """Columns that are named as what operators add come through, and change nothing."""
+    from pyspark.sql import functions as F
+
+    docs = keep(table(spark, SMALL, "documents").where("doc_id % 4 < 2"), "input")
+    names = ["__row", "__null", "__maybe", "__at", "predicted", "score", "key", "id", "kept", "others", "no_text", "component_id", "n_removed"]
+    more = keep(docs.select("*", *[F.col("doc_id").alias(n) for n in names]), "input")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, same = keep(stage(spark, more, SMALL), "stage"), stage(spark, docs, SMALL)
+        assert out.columns == more.columns and not out.where(" OR ".join(f"NOT {n} <=> doc_id" for n in names)).count()
+        assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, same.collect()))
+    assert corpus_pipeline.sequences(spark, more, SMALL).columns == corpus_pipeline.sequences(spark, docs, SMALL).columns
+
+
 def test_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         table(spark, SMALL, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
