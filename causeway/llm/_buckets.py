@@ -43,6 +43,11 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return keep(labelled.join(several, "key"), "mixed")
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts with the components that new links (a, b) connect made one: each is a star already, so that few rounds are left."""
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+
+
 def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and component of every id that is linked with another.
 
@@ -54,8 +59,7 @@ def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], acro
     members = keep(shared.join(buckets, "key"), "members")
 
     tested = keep(ordered(members.select("a", "id")), "pairs")
-    links = keep(verify(tested), "links")
-    parts = connected_components(links)
+    parts = connected_components(keep(verify(tested), "links"))
     mixed = _mixed(members, parts)
     for salt in SALTS[1:]:
         if mixed.isEmpty():
@@ -63,11 +67,10 @@ def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], acro
         stars = ordered(mixed.join(mixed.groupBy("key").agg(_drawn(salt)), "key").select("drawn", "id"))
         stars = keep(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(stars)
-        links = links.union(keep(verify(stars), "links"))
-        parts = connected_components(links)
+        parts = _joined(parts, keep(verify(stars), "links"))
         mixed = _mixed(mixed, parts)
 
     rest = keep(ordered(across(mixed)).join(tested, ["a", "b"], "left_anti"), "pairs")
     if rest.isEmpty():
         return parts
-    return connected_components(links.union(verify(rest)))
+    return _joined(parts, verify(rest))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from causeway.llm._io import keep
 
 
+def _state(edges: DataFrame) -> Row:
+    """A count and a hash that two sets of edges only share if they are the same."""
+    return edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+
+
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reachable) for each node of a pair of two nodes.
 
@@ -17,7 +22,7 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
     partial sums before the shuffle, and rows are told of it by an equi-join that Spark may split.
     """
     edges = keep(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before = _state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,7 +30,7 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.union(least.select("u", "m")).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        now = _state(edges)
         if now == before:
             break
         before = now
