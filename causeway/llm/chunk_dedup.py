@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm import _bloom
 from causeway.llm._chunks import peak_cuts
 from causeway.llm._io import keep, require
 from causeway.llm._text import slices, utf8
@@ -26,6 +27,8 @@ REACH = 16
 #: Bytes of neighbouring repeats that are removed together at least. A passage loses about 110 bytes
 #: at its ends, and one of just over 50 words may have little more than 200.
 LEAST_RUN = 80
+#: Blocks of the filter of documents that may lose bytes: at most 2**20 rows of 12 bytes.
+BLOCKS = 1 << 20
 
 
 def _ends(column: pa.Array, reach: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -36,7 +39,7 @@ def _ends(column: pa.Array, reach: int) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def chunk_names(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """One row for each chunk: doc_id, chunk (number in the row's text), hi and lo (its digest), again.
+    """One row for each chunk: doc_id, chunk (number in the row's text), size (bytes), hi and lo (its digest), again.
 
     again: whether the chunk stands earlier in the same text.
     """
@@ -57,21 +60,33 @@ def chunk_names(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach
             again = np.zeros(len(names), bool)
             again[order[1:][same]] = True  # the sort is stable: the first of equal ones comes first
             chunk = np.arange(len(names)) - np.repeat(at[:-1], n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(again)], names=["doc_id", "chunk", "hi", "lo", "again"])
+            size = np.diff(cuts, prepend=0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(again)], names=["doc_id", "chunk", "size", "hi", "lo", "again"])
 
-    shape = picked.select("doc_id", F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(True).alias("again"))
+    long = F.lit(0).cast("long")
+    shape = picked.select("doc_id", F.lit(0).alias("chunk"), F.lit(0).alias("size"), long.alias("hi"), long.alias("lo"), F.lit(True).alias("again"))
     return picked.mapInArrow(run, shape.schema)
 
 
 def repeated_chunks(names: DataFrame) -> DataFrame:
-    """doc_id and chunk of every chunk whose digest stands earlier: before it in its own text, or in a smaller doc_id.
+    """doc_id, chunk and size of every chunk whose digest stands earlier: before it in its own text, or in a smaller doc_id.
 
     Of a text's equal chunks only the first is compared with other texts.
     """
-    once = names.where("NOT again")
-    first = once.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    later = once.join(first, ["hi", "lo"]).where("doc_id > first_id").select("doc_id", "chunk")
-    return later.union(names.where("again").select("doc_id", "chunk"))
+    first = names.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max("again").alias("twice"))
+    first = first.where("first_id < last_id OR twice").select("hi", "lo", "first_id")
+    return names.join(first, ["hi", "lo"]).where("again OR doc_id > first_id").select("doc_id", "chunk", "size")
+
+
+def _longest_run(repeats: Column) -> Column:
+    """Bytes of the longest run of neighbouring chunks among (chunk, size), sorted."""
+    none = F.struct(F.lit(-2).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"))
+
+    def longer(so_far: Column, x: Column) -> Column:
+        run = F.when(x.chunk == so_far.last + 1, so_far.run).otherwise(F.lit(0).cast("long")) + x["size"]
+        return F.struct(x.chunk.alias("last"), run.alias("run"), F.greatest(so_far.most, run).alias("most"))
+
+    return F.aggregate(repeats, none, longer, lambda so_far: so_far.most)
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH, least_run: int = LEAST_RUN) -> DataFrame:
@@ -81,11 +96,21 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     a boundary may fall within a character. Null counts as empty. Rows with a null
     doc_id are kept whole and make nothing a repeat. Rows that repeat a doc_id count as one
     document's parts with the same chunk numbers: a chunk that each of them holds once stays.
+
+    Chunks are cut anew in each pass over df instead of being written, and only texts that may lose
+    bytes are shuffled.
     """
     picked = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
-    names = keep(chunk_names(picked.where("doc_id IS NOT NULL"), "__text", "doc_id", reach), "chunks")
-    marks = repeated_chunks(names).groupBy("doc_id").agg(F.collect_list("chunk").alias("__repeats"))  # as many as the document has chunks
-    joined = picked.join(marks, "doc_id", "left")
+    named = picked.where("doc_id IS NOT NULL")
+    marks = repeated_chunks(chunk_names(named, "__text", "doc_id", reach)).groupBy("doc_id")
+    marks = keep(marks.agg(F.array_sort(F.collect_list(F.struct("chunk", "size"))).alias("__repeats")), "marks")  # as many as the document has chunks
+    # The rows of a repeated doc_id have each other's chunk numbers, with sizes of their own.
+    several = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    open_ = marks.where(_longest_run(F.col("__repeats")) >= least_run).select("doc_id").union(several)
+    marked = _bloom.mark(picked, "doc_id", _bloom.build(open_, "doc_id", BLOCKS), BLOCKS, "__open")
+    chunks = marks.select("doc_id", F.col("__repeats.chunk").alias("__repeats"))
+    cut = marked.where("__open").join(chunks, "doc_id", "left").select("doc_id", "__text", "__repeats")
+    joined = cut.union(marked.where("NOT __open").select("doc_id", "__text", F.lit(None).cast("array<int>").alias("__repeats")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -95,7 +120,9 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", re
             for row, repeats in enumerate(batch.column("__repeats").to_pylist()):
                 mine = ends[at[row] : at[row + 1] + 1]
                 base, size = int(mine[0]), int(mine[-1] - mine[0])
-                spans = _runs(np.unique(np.array(repeats or [], np.int64)), mine - base, least_run)
+                numbers = np.unique(np.array(repeats or [], np.int64))
+                numbers = numbers[numbers < len(mine) - 1]  # those of a longer text with the same doc_id don't exist here
+                spans = _runs(numbers, mine - base, least_run)
                 kept, to = [], 0
                 for a, b in spans:
                     kept.append(data[base + to : base + a])

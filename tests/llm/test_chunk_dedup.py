@@ -72,6 +72,25 @@ def test_nulls_repeats_and_empty(spark):
     assert chunk_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_chunks_are_not_written_and_texts_without_runs_stay(spark, monkeypatch, tmp_path):
+    """Beside marks nothing is written, and the texts that lose nothing don't join them."""
+    written, probed = [], []
+    keep, mark = chunk_dedup.keep, chunk_dedup._bloom.mark
+    monkeypatch.setattr(chunk_dedup, "keep", lambda df, name: written.append(keep(df, name)) or written[-1])
+    monkeypatch.setattr(chunk_dedup._bloom, "mark", lambda *a: probed.append(mark(*a)) or probed[-1])
+    pick = np.random.default_rng(12)
+    noise = lambda n: "".join(chr(97 + c) for c in pick.integers(0, 26, n))
+    shared, few = noise(600), noise(120)
+    rows = [(1, noise(300) + shared), (2, shared + noise(500)), (3, few + noise(400)), (4, noise(400) + few), *((10 + k, noise(900)) for k in range(200))]
+    # The same id twice: chunk numbers of one count for the other too, whose chunks may be larger.
+    rows += [(300, few[:100] + noise(50)), (300, noise(40))]
+    df = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], SCHEMA)
+    out = got(chunk_dedup.remove_repeats(df))
+    assert {i: out[i] for i, _ in rows if i != 300} == {i: x for i, x in brute(rows).items() if i != 300} and out[2][2] > 400
+    assert [set(x.columns) for x in written] == [{"doc_id", "__repeats"}] and written[0].count() < 10
+    assert {1, 2, 300} - {r.doc_id for r in probed[0].where("__open").collect()} <= {1} and probed[0].where("__open").count() < 10
+
+
 def test_cuts_of_rows_do_not_depend_on_their_neighbours():
     pick = np.random.default_rng(3)
     texts = [pick.integers(0, 256, n, dtype=np.uint8) for n in (0, 5, 400, 1000, 90, 0, 3000)]
