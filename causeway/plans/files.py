@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.plans.registry import query
+from causeway.session import shuffles_freed
 from causeway.sources import readers
 from causeway.sources.writers import fresh_path
 
@@ -101,7 +102,8 @@ def _statement(e: DataFrame) -> DataFrame:
 def _(v):
     path = fresh_path(v.spark, "statements")
     lines = _statement(v.evidence).select(F.to_json(F.struct(F.col("s").alias("_source"))).alias("value"))
-    lines.union(v.spark.createDataFrame([("{}",), ("not JSON",)], "value string")).write.text(path)
+    with shuffles_freed(v.spark):
+        lines.union(v.spark.createDataFrame([("{}",), ("not JSON",)], "value string")).write.option("compression", "gzip").text(path)
     st = readers.read_statements_jsonl(v.spark, path)
     return st.select("id", F.col("subj.concept").alias("subj"), F.col("obj.concept").alias("obj"), F.round("belief", 6).alias("belief"), F.coalesce(F.col("evidence")[0]["evidence_context"]["subj_adjectives"][0], F.lit("None")).alias("subj_adj"), F.col("evidence")[0]["evidence_context"]["obj_polarity"].alias("obj_pol"))
 

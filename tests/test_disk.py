@@ -58,3 +58,13 @@ def test_forecasts_of_many_steps_and_of_nodes_without_moves(spark):
 def test_no_displacements_no_rows(spark):
     cells, state, disp = chain(spark, 2, 3)
     assert rows(forecast.linear_forecast(cells, state, disp.limit(0))) == []
+
+
+def test_statement_files_are_compressed(spark, tmp_path, monkeypatch):
+    from causeway.plans import registry
+
+    monkeypatch.setattr("causeway.plans.files.fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    n = registry.queries()["a8_read_statements_jsonl"](spark, "/root/testdata/sf0.001").count()
+    size = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    assert n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert 0 < size < 60 * n  # a statement is over 400 bytes of JSON
