@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_lookup import most_rows, rows
 
 from causeway.llm import _io
-from causeway.operators import forecast
+from causeway.operators import forecast, graph
 from causeway.sources import writers
 
 
@@ -68,3 +68,26 @@ def test_statement_files_are_compressed(spark, tmp_path, monkeypatch):
     size = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
     assert n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert 0 < size < 60 * n  # a statement is over 400 bytes of JSON
+
+
+def ladder(spark, n):
+    """v0, v1, ...: each leads to the next two."""
+    return spark.range(n).selectExpr("concat('v', id) src", "explode(array(concat('v', id + 1), concat('v', id + 2))) dst")
+
+
+def test_each_length_of_paths_is_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "write_table", lambda df, name, path=None: written.append(name) or writers.write_table(df, name, path))
+    cells = graph.cell_values(ladder(spark, 11).selectExpr("src", "dst", "atan(1.0D) theta"), ())
+    got = {(r.src, r.dst): round(r.value, 6) for r in cells.collect()}
+    ways = [1, 1]
+    while len(ways) < 13:
+        ways.append(ways[-1] + ways[-2])
+    last = {(f"v{a}", "v12"): ways[10 - a] for a in range(11)}  # v11 leads nowhere
+    assert got == {(f"v{a}", f"v{b}"): ways[b - a] for a in range(11) for b in range(a + 1, 12)} | last
+    assert written.count("cells") == 12 and "rounds" not in written
+
+
+def test_prune_of_deep_graphs(spark):
+    deep = ladder(spark, 11)
+    assert rows(graph.prune_acyclic(deep.union(spark.createDataFrame([("v0", "v5")], "src string, dst string")), 2)) == rows(deep)
