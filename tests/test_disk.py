@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_lookup import most_rows, rows
 
-from causeway.llm import _io
+from causeway.llm import _io, suffix_dedup
 from causeway.operators import forecast, graph
 from causeway.sources import writers
 
@@ -29,6 +29,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark, write):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
 
 
+def test_a_filter_leaves_no_shuffle_files(spark):
+    before = shuffled(spark)
+    suffix_dedup._filter(suffix_dedup._repeated(spark.range(20_000).selectExpr("id % 9973 gram"))).unpersist()
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
+
+
 def chain(spark, n, steps):
     """n causes, each of which moves each of n effects by a hundredth of its own move."""
     cells = spark.range(n).crossJoin(spark.range(n).toDF("to")).selectExpr("0 draw", "concat('a', id) src", "concat('b', to) dst", "0.01D value")
